@@ -29,6 +29,8 @@ with an id, whose component it gets; an empty table gives no rows; extra columns
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from itertools import count
 
@@ -221,23 +223,35 @@ class _Union:
 
 
 def search_blocks(ids: list[int], sizes: list[int], comps: list[int], sets: list[np.ndarray], first: list[bool], second: list[bool]) -> list[tuple[int, int]]:
-    """Links between documents of the ``first`` and of the ``second`` block that join components; ``sets`` may lack unshared shingles."""
-    union, lists, out = _Union(), {}, []
+    """Links between documents of the ``first`` and of the ``second`` block that join components; ``sets`` may lack unshared shingles.
+
+    The largest component does not ask: its links within are not needed, and those to others are found
+    by the others. Lists are in order of set size, so the sizes that a partner can have bound them: with
+    o shingles left to share and an overlap of 4/9 (n + m) or more, m lies between 0.8 n and 9/4 o - n.
+    """
+    if not ids:
+        return []
+    union, out = _Union(), []
     order = sorted(range(len(ids)), key=lambda i: (sizes[i], ids[i]))
-    indexed = [i for i in order if second[i]]
-    for place, i in enumerate(indexed):
-        for t in sets[i].tolist():
-            lists.setdefault(t, []).append(place)
-    for i in order:
-        if not first[i]:
-            continue
-        own = [x for t in sets[i].tolist() if (x := lists.get(t))]
-        # a partner has at least 0.8 of this size, and so an overlap of at least 0.8 of it
-        for place, inter in divide_skip(own, -(-4 * sizes[i] // 5)):
-            j = indexed[place]
-            if j != i and union.find(comps[i]) != union.find(comps[j]) and linked(inter, sizes[i], sizes[j]):
-                union.join(comps[i], comps[j])
-                out.append((ids[i], ids[j]))
+    largest = Counter(comps).most_common(1)[0][0]
+    for asks, holds in [(first, second)] if first == second else [(first, second), (second, first)]:
+        indexed = [i for i in order if holds[i]]
+        at_size = [sizes[i] for i in indexed]
+        lists: dict[int, list[int]] = {}
+        for place, i in enumerate(indexed):
+            for t in sets[i].tolist():
+                lists.setdefault(t, []).append(place)
+        for i in order:
+            if not asks[i] or comps[i] == largest:
+                continue
+            whole = [x for t in sets[i].tolist() if (x := lists.get(t))]
+            lo, hi = bisect_left(at_size, -(-4 * sizes[i] // 5)), bisect_right(at_size, 9 * len(whole) // 4 - sizes[i])
+            own = [x for y in whole if (x := y[bisect_left(y, lo) : bisect_left(y, hi)])]
+            for place, inter in divide_skip(own, -(-4 * sizes[i] // 5)):
+                j = indexed[place]
+                if j != i and union.find(comps[i]) != union.find(comps[j]) and linked(inter, sizes[i], sizes[j]):
+                    union.join(comps[i], comps[j])
+                    out.append((ids[i], ids[j]))
     return out
 
 
