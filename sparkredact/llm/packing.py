@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table
 from .token_files import tokenizer_path
-from .tokens import encode_column, ids_crc32
+from .tokens import encode_column, ids_crc32, slices
 
 SEQUENCE = 2048
 OPEN_BINS = 1 << 15
@@ -43,7 +43,7 @@ def token_pieces(docs: DataFrame, *, tokenizer: str, end_id: int = 0, size: int
     """Pieces of the documents' ids, at most ``size`` long; with their ids if asked for."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc, ids in zip(batch.column(0).to_pylist(), encode_column(batch.column(1).to_pylist(), tokenizer, end_id), strict=True):
                 at = cut_points(len(ids), size)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .common import new_path, table
-from .tokens import encode_column, ids_crc32
+from .tokens import encode_column, ids_crc32, slices
 
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
@@ -41,7 +41,7 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer: str, end_id: int, id_
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, done = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in slices(batches):
             ids = encode_column(batch.column(1).to_pylist(), tokenizer, end_id)
             lens = np.array([len(x) for x in ids], dtype=np.int64)
             ends = np.cumsum(lens)

@@ -18,7 +18,9 @@ from itertools import chain, islice
 import numpy as np
 
 CACHE_PARTS = 300_000
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 1_000_000
+#: Rows of an Arrow batch that are encoded and sent on at once.
+SLICE_ROWS = 512
 #: Words that go to the model at once.
 GROUP = 100
 #: The split pattern of byte-level BPE.
@@ -40,24 +42,31 @@ class _Parts(dict):
 
 
 class _Store:
-    """Id lists by number, one after the other."""
+    """Id lists by number, one after the other, in arrays that grow by doubling."""
 
     def __init__(self) -> None:
-        self.lens, self.starts, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.n = 0
+        self.ends, self.flat = np.zeros(1 << 10, np.int64), np.zeros(1 << 12, np.uint32)  # ends[i]: where list i starts
 
     def add(self, lens: np.ndarray, flat: np.ndarray) -> None:
-        self.lens, self.flat = np.concatenate([self.lens, lens]), np.concatenate([self.flat, flat.astype(np.uint32)])
-        self.starts = np.cumsum(self.lens) - self.lens
+        n, at = self.n + len(lens), self.ends[self.n]
+        while len(self.ends) <= n:
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        while len(self.flat) < at + len(flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.ends[self.n + 1 : n + 1] = at + np.cumsum(lens)
+        self.flat[at : at + len(flat)] = flat
+        self.n = n
 
     def cut(self, n: int) -> None:
-        self.lens, self.starts = self.lens[:n], self.starts[:n]
-        self.flat = self.flat[: self.lens.sum()]
+        self.n = n
 
     def gather(self, idx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Lengths of the lists numbered ``idx`` and their ids in a row."""
-        lens = self.lens[idx]
+        starts = self.ends[idx]
+        lens = self.ends[idx + 1] - starts
         ends = np.cumsum(lens)
-        return lens, self.flat[np.repeat(self.starts[idx] - (ends - lens), lens) + np.arange(ends[-1] if len(ends) else 0)]
+        return lens, self.flat[np.repeat(starts - (ends - lens), lens) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -132,7 +141,7 @@ class TextEncoder:
         """Back to what came first, once a batch has brought more than the caches hold."""
         for name in ("parts", "words"):
             if len(have := getattr(self, name)) > self.limit:
-                for k in list(islice(have, self.limit, None)):
+                for k in list(islice(reversed(have), len(have) - self.limit)):
                     del have[k]
                 getattr(self, f"{name[:-1]}_ids").cut(self.limit)
 
@@ -164,6 +173,13 @@ class TextEncoder:
         return [whole[i] if i in whole else np.concatenate([head_ids[head_at[i] : head_at[i + 1]], ids[at[i] : at[i + 1]]]) for i in range(len(texts))]
 
 
+def slices(batches: Iterable) -> Iterable:
+    """Arrow batches in slices of few rows, so that what a worker holds beside a batch is small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> TextEncoder:
     """One encoder for each worker process."""
