@@ -45,8 +45,12 @@ def word_spans(text: Column) -> Column:
 
 def span_windows(n_words: Column, width: int) -> Column:
     """(start, end) word ranges of up to ``width`` words that fit."""
-    starts = F.when(n_words > 0, F.sequence(F.lit(0), n_words - 1)).otherwise(F.array().cast("array<int>"))
-    return F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(i, F.least(i + (width - 1), n_words - 1)), lambda j: F.struct(i.alias("word_start"), j.alias("word_end")))))
+
+    def windows(n: Column) -> Column:
+        starts = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        return F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(i, F.least(i + (width - 1), n - 1)), lambda j: F.struct(i.alias("word_start"), j.alias("word_end")))))
+
+    return let(n_words, windows)
 
 
 def add_emails(spans: Column, text: Column) -> Column:

@@ -54,11 +54,14 @@ def greedy_select(candidates: Column, words: Column, labels: Column, text: Colum
     in_order = F.array_sort(F.transform(kept, lambda c: F.struct(c["a"].alias("a"), c["b"].alias("b"), c["c"].alias("c"), c["score"].alias("score"))))
     known = F.filter(in_order, lambda c: c["c"] < F.size(labels))
 
-    def one(c: Column) -> Column:
-        start, end = F.element_at(words, c["a"] + 1)["start"], F.element_at(words, c["b"] + 1)["end"]
-        return span(start, end, byte_slice(text, start, end), F.element_at(labels, c["c"] + 1), c["score"])
+    def spans(both: Column) -> Column:
+        def one(c: Column) -> Column:
+            start, end = F.element_at(both["words"], c["a"] + 1)["start"], F.element_at(both["words"], c["b"] + 1)["end"]
+            return span(start, end, byte_slice(both["text"], start, end), F.element_at(labels, c["c"] + 1), c["score"])
 
-    return F.transform(known, one).cast(SPANS)
+        return F.transform(known, one)
+
+    return let(F.struct(words.alias("words"), text.alias("text")), spans).cast(SPANS)
 
 
 def bio_decode(tokens: Column, text: Column, floor: float = RAW_FLOOR) -> Column:

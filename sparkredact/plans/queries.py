@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import redaction, rules, scanners, sweeps
-from ..functions.spans import SPANS, pattern_spans, with_char_offsets
+from ..functions.spans import SPANS, let, pattern_spans, with_char_offsets
 from ..functions.vocab import CANONICAL, SERVER_THRESHOLDS
 from ..operators import corpus, decode, limiter
 from ..operators.pipeline import Config, detect, detect_spans, length_error, run_pipeline
@@ -184,20 +184,25 @@ def regulation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def greedy_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every one- to three-word range of a text's first line, scored by its place."""
-    line = F.element_at(F.split("text", "\n"), 1)
-    docs = _docs(spark, sf_dir).select("doc_id", line.alias("text")).withColumn("words", scanners.word_spans(F.col("text")))
-    cand = F.transform(scanners.span_windows(F.size("words"), 3), lambda w: F.struct(w["word_start"].alias("word_start"), w["word_end"].alias("word_end"), ((w["word_start"] + w["word_end"]) % 3).alias("class_idx"), (((F.col("doc_id") * 7 + w["word_start"] * 13 + w["word_end"] * 29) % 101) / 101).cast("float").alias("score")))
     labels = F.array(F.lit("person_name"), F.lit("street_address"))
-    return _rows(docs.select("doc_id", decode.greedy_select(cand, F.col("words"), labels, F.col("text")).alias("spans")))
+    score = lambda w: (((F.col("doc_id") * 7 + w["word_start"] * 13 + w["word_end"] * 29) % 101) / 101).cast("float")
+
+    def select(line: Column) -> Column:
+        def of(words: Column) -> Column:
+            cand = F.transform(scanners.span_windows(F.size(words), 3), lambda w: F.struct(w["word_start"].alias("word_start"), w["word_end"].alias("word_end"), ((w["word_start"] + w["word_end"]) % 3).alias("class_idx"), score(w).alias("score")))
+            return decode.greedy_select(cand, words, labels, line)
+
+        return let(scanners.word_spans(line), of)
+
+    return _rows(_docs(spark, sf_dir).select("doc_id", let(F.element_at(F.split("text", "\n"), 1), select).alias("spans")))
 
 
 def bio_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tags by the length of words in a text's first line."""
-    line = F.element_at(F.split("text", "\n"), 1)
-    docs = _docs(spark, sf_dir).select("doc_id", line.alias("text"))
     tag = lambda w: F.when(F.length(w["word"]) % 4 == 0, "O").when(F.length(w["word"]) % 4 == 1, "B-NAME").when(F.length(w["word"]) % 4 == 2, "I-NAME").otherwise("I-ADDR")
-    toks = F.transform(scanners.word_spans(F.col("text")), lambda w, i: F.struct(w["start"].alias("start"), w["end"].alias("end"), tag(w).alias("tag"), ((i * 37 % 100) / 100).cast("float").alias("prob"), F.lit(False).alias("special")))
-    return _rows(docs.select("doc_id", decode.bio_decode(toks, F.col("text")).alias("spans")))
+    token = lambda w, i: F.struct(w["start"].alias("start"), w["end"].alias("end"), tag(w).alias("tag"), ((i * 37 % 100) / 100).cast("float").alias("prob"), F.lit(False).alias("special"))
+    spans = let(F.element_at(F.split("text", "\n"), 1), lambda line: decode.bio_decode(F.transform(scanners.word_spans(line), token), line))
+    return _rows(_docs(spark, sf_dir).select("doc_id", spans.alias("spans")))
 
 
 def span_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,8 +39,8 @@ h AS (SELECT doc_id, label, st, en, v, 1 AS o FROM ({_hits('documents', 'doc_id'
   UNION ALL SELECT doc_id, label, st, en, v, 2 FROM ({_hits('documents', 'doc_id', 'text', _DIGITS, '^$', 'bank_account_number')})
   UNION ALL SELECT doc_id, 'person_name', st, en, v, 3 FROM ({_emails()})
   UNION ALL SELECT doc_id, label, st, en, v, 4 FROM ({_ips()})),
-c AS (SELECT doc_id, label, st, en, v, CAST(((doc_id * 31 + st) % 100) / 100.0::DOUBLE AS FLOAT) AS score, o * 1000000000 + st AS ord FROM h
-  UNION ALL SELECT doc_id, 'passport_number', st, st + 4, substr(v, 1, 4), CAST(((doc_id * 17 + st) % 100) / 100.0::DOUBLE AS FLOAT), (o + 10) * 1000000000 + st FROM h)"""
+c AS (SELECT doc_id, label, st, en, v, CAST(((doc_id * 31 + st) % 100) / 100.0::DOUBLE AS FLOAT) AS score, o * 1000000000::BIGINT + st AS ord FROM h
+  UNION ALL SELECT doc_id, 'passport_number', st, st + 4, substr(v, 1, 4), CAST(((doc_id * 17 + st) % 100) / 100.0::DOUBLE AS FLOAT), (o + 10) * 1000000000::BIGINT + st FROM h)"""
 _SCORE = "round(CAST(score AS DOUBLE), 4) AS score"
 _LIMITS = " ".join(f"WHEN label = '{k}' THEN {v}" for k, v in SERVER_THRESHOLDS.items())
 _VALUES = ", ".join(f"('{k.upper()}', '{v}')" for k, v in CANONICAL.items())
@@ -91,9 +91,9 @@ _PER_DOC = f"WITH {_DETECTED} SELECT doc_id, count(*) AS n_entities, {_TYPES} AS
 
 ORACLE_SQL = {
     "detect_documents": _PER_DOC,
-    "scan_emails": f"SELECT {_ROW}, 0.9 AS score FROM ({_emails()})",
-    "scan_ips": f"SELECT {_ROW}, 1.0 AS score FROM ({_ips()})",
-    "scan_pages": f"SELECT {_ROW}, CASE WHEN label = 'ip_address' THEN 1.0 ELSE 0.9 END AS score FROM ({_emails('pages', 'page_id', 'html')} UNION ALL {_ips('pages', 'page_id', 'html')})",
+    "scan_emails": f"SELECT {_ROW}, 0.9::DOUBLE AS score FROM ({_emails()})",
+    "scan_ips": f"SELECT {_ROW}, 1.0::DOUBLE AS score FROM ({_ips()})",
+    "scan_pages": f"SELECT {_ROW}, CASE WHEN label = 'ip_address' THEN 1.0::DOUBLE ELSE 0.9::DOUBLE END AS score FROM ({_emails('pages', 'page_id', 'html')} UNION ALL {_ips('pages', 'page_id', 'html')})",
     "scan_char_offsets": f"SELECT doc_id, cst AS char_start, cen AS char_end, v AS value FROM ({_emails()})",
     "entity_counts": f"WITH {_DETECTED} SELECT lang, source, count(*) AS entities, CAST(sum(CASE WHEN label = 'email_address' THEN 1 ELSE 0 END) AS BIGINT) AS emails FROM f JOIN documents d ON d.doc_id = f.doc_id GROUP BY ROLLUP (lang, source)",
     "has_cjk": r"SELECT lang, CAST(sum(CASE WHEN regexp_matches(text, '[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2EBEF}\x{30000}-\x{3134F}]') THEN 1 ELSE 0 END) AS BIGINT) AS cjk, count(*) AS docs FROM documents GROUP BY 1",
@@ -105,7 +105,7 @@ ORACLE_SQL = {
     "meta_filter": rf"SELECT lower(w) AS word, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS w FROM documents) WHERE w <> '' AND (regexp_replace(w, '\s', '', 'g') = '' OR regexp_replace(regexp_replace(lower(w), '^[\s.,;:!?()\[\]{{}}，。；：]+', ''), '[\s.,;:!?()\[\]{{}}，。；：]+$', '') IN ({_META_LIST})) GROUP BY 1",
     "strip_context": "SELECT c_custkey, c_name AS stripped FROM customer",
     "reclassify": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'contact number' ELSE 'person_name' END AS label, CASE WHEN c_custkey % 2 = 0 THEN greatest(0.35, (c_custkey % 10) / 10.0) ELSE (c_custkey % 10) / 10.0 END::DOUBLE AS score FROM customer",
-    "expand_emails": f"SELECT {_ROW}, 0.8 AS score FROM ({_emails()})",
+    "expand_emails": f"SELECT {_ROW}, 0.8::DOUBLE AS score FROM ({_emails()})",
     "threshold_default": f"WITH {_BASE} SELECT {_ROW}, {_SCORE} FROM c WHERE score >= 0.25::FLOAT",
     "threshold_by_label": f"WITH {_BASE} SELECT {_ROW}, {_SCORE} FROM c WHERE score >= CAST(CASE {_LIMITS} ELSE 0.25 END AS FLOAT)",
     "review_flags": f"WITH {_BASE} SELECT label AS type, score < 0.6::FLOAT AS needs_review, count(*) AS n FROM c GROUP BY 1, 2",
