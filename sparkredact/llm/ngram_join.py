@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from .common import materialize, small, table
 from .divide_skip import divide_skip
 from .graph import components
-from .shingles import fingerprint, shingle_set
+from .shingles import fingerprint, mix, shingle_set
 
 #: Shingles of a bucket, and those a task deals out at once.
 BUCKET_SHINGLES, LOCAL_SHINGLES, LOCAL_DOCS = 3_000_000, 1_000_000, 60_000
@@ -52,6 +52,7 @@ LEADER_SHINGLES = 24
 BAND = 1.25
 BLOCK_DOCS = 512
 OPEN_ROUNDS = 4
+PACKED = ["bucket", "toks", "place", "docs", "sizes", "marks"]
 SHARED = "doc_id long, n long, toks array<long>"
 
 
@@ -103,16 +104,20 @@ def _deal(docs: np.ndarray, sets: list[np.ndarray], buckets: int, turn: int) ->
         yield row(-1 - turn % buckets, toks[~single], place[~single], marks[:0])
 
 
-def _by_document(toks: np.ndarray, docs: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
-    order = np.argsort(docs, kind="stable")
+def _by_document(toks: np.ndarray, docs: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(id, size, sorted shingles) of each document whose shingles are shared to 80 % at least."""
+    order = np.lexsort((toks, docs))
     toks, docs, sizes = toks[order], docs[order], sizes[order]
-    starts, _ = _runs(docs)
-    lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(docs)).astype(np.int32)), pa.array(toks.astype(np.int64)))
-    return pa.RecordBatch.from_arrays([pa.array(docs[starts]), pa.array(sizes[starts].astype(np.int64)), lists], names=["doc_id", "n", "toks"])
+    starts, lens = _runs(docs)
+    for i in np.nonzero(10 * lens >= 8 * sizes[starts])[0]:
+        yield int(docs[starts[i]]), int(sizes[starts[i]]), toks[starts[i] : starts[i] + lens[i]].astype(np.int64)
 
 
 def shared_shingles(docs: DataFrame, total: int) -> DataFrame:
-    """``(doc_id, n, toks)``: shingles of ``docs(doc_id, text)`` that another document has too, several rows a document.
+    """``(doc_id, n, toks)``: the shingles that another document has too, for the documents of ``docs(doc_id, text)`` with 80 % of these.
+
+    Shingles go to buckets by hash, to meet their like, and the shared ones to buckets of documents; both
+    ways they travel packed, a row for each pair of buckets.
 
     ``total`` is the number of all shingles, from which the number of buckets follows. What a task deals
     out depends on the order of its rows, so they must come from files or sorted by id, as a join's do;
@@ -125,9 +130,8 @@ def shared_shingles(docs: DataFrame, total: int) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             rows = list(_deal(np.array(ids, np.int64), sets, buckets, next(turn)))
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 6))], names=names)
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 6))], names=PACKED)
 
-        names = ["bucket", "toks", "place", "docs", "sizes", "marks"]
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 s = shingle_set(text.as_py())
@@ -141,14 +145,17 @@ def shared_shingles(docs: DataFrame, total: int) -> DataFrame:
         if ids:
             yield flush()
 
-    def one(rows: list[dict], b: int) -> pa.RecordBatch | None:
+    def unpack(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         read = lambda k, kind: [np.frombuffer(r[k], kind) for r in rows]
         places = read("place", np.uint16)
-        toks = np.concatenate(read("toks", np.uint64))
         docs = np.concatenate([d[p] for d, p in zip(read("docs", np.int64), places, strict=True)])
         sizes = np.concatenate([d[p] for d, p in zip(read("sizes", np.int32), places, strict=True)])
+        return np.concatenate(read("toks", np.uint64)), docs, sizes
+
+    def meet(rows: list[dict], b: int) -> Iterator[pa.RecordBatch]:
+        toks, docs, sizes = unpack(rows)
         if b >= 0:
-            marks = np.unique(np.concatenate(read("marks", np.uint64)))
+            marks = np.unique(np.concatenate([np.frombuffer(r["marks"], np.uint64) for r in rows]))
             order = np.argsort(toks, kind="stable")
             toks, docs, sizes = toks[order], docs[order], sizes[order]
             starts, lens = _runs(toks)
@@ -156,24 +163,45 @@ def shared_shingles(docs: DataFrame, total: int) -> DataFrame:
             marked = (marks[np.minimum(at, len(marks) - 1)] == toks[starts]) if len(marks) else np.zeros(len(starts), bool)
             keep = np.repeat((lens > 1) | marked, lens)
             toks, docs, sizes = toks[keep], docs[keep], sizes[keep]
-        return _by_document(toks, docs, sizes) if len(toks) else None
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, at = [], None
-        for batch in batches:
-            for r in batch.to_pylist():
-                if rows and (r["bucket"] != at or at < 0):
-                    out = one(rows, at)
-                    if out is not None:
-                        yield out
-                    rows = []
-                at = r["bucket"]
-                rows.append(r)
-        if rows and (out := one(rows, at)) is not None:
-            yield out
-
-    dealt = docs.select("doc_id", "text").mapInArrow(deal, "bucket long, toks binary, place binary, docs binary, sizes binary, marks binary")
-    return dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(gather, SHARED)
+        to = (mix(docs.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        toks, docs, sizes, to = toks[order], docs[order], sizes[order], to[order]
+        edges = np.searchsorted(to, np.arange(buckets + 1))
+        out = []
+        for k in range(buckets):
+            ids, first, place = np.unique(docs[edges[k] : edges[k + 1]], return_index=True, return_inverse=True)
+            for at in range(0, len(ids), LOCAL_DOCS):  # places have 16 bits
+                some = (place >= at) & (place < at + LOCAL_DOCS)
+                part = slice(at, at + LOCAL_DOCS)
+                out.append((k, toks[edges[k] : edges[k + 1]][some].tobytes(), (place[some] - at).astype(np.uint16).tobytes(), ids[part].tobytes(), sizes[edges[k] : edges[k + 1]][first[part]].astype(np.int32).tobytes(), b""))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), *(pa.array([r[k] for r in out], pa.binary()) for k in range(1, 6))], names=PACKED)
+
+    def assemble(rows: list[dict], b: int) -> Iterator[pa.RecordBatch]:
+        got = list(_by_document(*unpack(rows)))
+        if got:
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in got], pa.int64()), pa.array([r[1] for r in got], pa.int64()), pa.array([r[2] for r in got], pa.list_(pa.int64()))], names=["doc_id", "n", "toks"])
+
+    def by_bucket(work):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows, at = [], None
+            for batch in batches:
+                for r in batch.to_pylist():
+                    if rows and (r["bucket"] != at or at < 0):
+                        yield from work(rows, at)
+                        rows = []
+                    at = r["bucket"]
+                    rows.append(r)
+            if rows:
+                yield from work(rows, at)
+
+        return run
+
+    schema = "bucket long, toks binary, place binary, docs binary, sizes binary, marks binary"
+    placed = lambda df: df.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    dealt = docs.select("doc_id", "text").mapInArrow(deal, schema)
+    met = placed(dealt).mapInArrow(by_bucket(meet), schema)
+    return placed(met).mapInArrow(by_bucket(assemble), SHARED)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -287,9 +315,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copies = materialize(joined.filter("rep <> doc_id").select("doc_id").distinct(), "copies")
     total = known.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null")
-    shared = shared_shingles(rows.join(small(copies), "doc_id", "left_anti"), total)
-    sets = shared.groupBy("doc_id").agg(F.max("n").alias("n"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("toks")))).alias("toks"))
-    sets = materialize(sets.filter(10 * F.size("toks") >= 8 * F.col("n")), "shingle-sets")
+    sets = materialize(shared_shingles(rows.join(small(copies), "doc_id", "left_anti"), total), "shingle-sets")
     stars = materialize(star_links(sets), "star-links")
     comps = components(stars)
     left = sets.join(comps, sets["doc_id"] == comps["node"], "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("comp"), "toks")
