@@ -6,8 +6,9 @@ side) may give it away: with n documents in the corpus, IC(e) = log2(n / n_e) is
 discloses itself, and PMI(t, e) = log2(n * n_te / (n_t * n_e)) what the term discloses of it, where
 n_t and n_e count the documents with the term and with the entity, and n_te those with the term near
 the entity. In documents that hold the entity and the term near it, the term is generalised where
-PMI reaches ``GENERALISE`` * IC and removed where it reaches IC, that is, where the term occurs
-nowhere without the entity; ``SUPPORT`` documents must show the two together.
+PMI comes within ``SLACK_BITS`` of IC, so that it leaves that much doubt about the entity at most, and
+removed where it reaches IC, that is, where the term occurs nowhere without the entity; ``SUPPORT``
+documents must show the two together.
 
 All is DataFrame functions. Spans are found inside the row; the counts are aggregations with partial
 sums; the corpus is joined with the candidate terms only. The patterns have possessive repeats and
@@ -35,7 +36,7 @@ OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 #: Words on either side of an entity that count as near it, and the characters in which they are looked for.
 CONTEXT, CONTEXT_CHARS = 8, 200
 SUPPORT = 2
-GENERALISE = 0.8
+SLACK_BITS = 1.0
 TERM = r"\p{L}{4,}"
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]", "gone": ""}
 _SPANS = "array<struct<start:bigint,end:bigint,value:string>>"
@@ -120,7 +121,7 @@ def disclosing_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     scored = pairs.join(n_t, "term").join(n_e, "entity")
     ic = F.log2(F.lit(float(n)) / F.col("n_e"))
     pmi = F.log2(F.lit(float(n)) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
-    shown = scored.filter((ic > 0) & (pmi >= GENERALISE * ic)).select("entity", "term", (F.col("n_te") >= F.col("n_t")).alias("gone"))
+    shown = scored.filter((ic > 0) & (pmi >= ic - SLACK_BITS - 1e-9)).select("entity", "term", (F.col("n_te") >= F.col("n_t")).alias("gone"))
     shown = materialize(shown, "pii-shown")
     hit = near.join(small(shown), ["entity", "term"]).groupBy("pii_key", "term").agg(F.max("gone").alias("gone"))
     return hit.groupBy("pii_key").agg(F.array_sort(F.collect_list(F.struct("term", "gone"))).alias("terms"))
