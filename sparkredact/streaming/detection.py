@@ -24,8 +24,8 @@ def audit_counts(detected: DataFrame, ts_col: str = "ts", window: str = "5 minut
     return rows.groupBy(F.window(ts_col, window), F.col("e.type").alias("type")).agg(F.count("*").alias("entities"))
 
 
-def rate_limit_stream(stream: DataFrame, key_col: str, ts_col: str, limit: int, window_seconds: float = WINDOW_SECONDS) -> DataFrame:
-    """(key, ts, admitted); a key's state is its admissions of one window and goes after an idle one.
+def rate_limit_stream(stream: DataFrame, key_col: str, ts_col: str, limit: int, window_seconds: float = WINDOW_SECONDS, late: str = "10 minutes") -> DataFrame:
+    """(key, ts, admitted); a key's state is its admissions of one window and goes once the watermark is a window past them.
 
     Rows are taken in time order within a micro-batch. Refused rows leave the state as it is.
     """
@@ -46,8 +46,9 @@ def rate_limit_stream(stream: DataFrame, key_col: str, ts_col: str, limit: int,
                 held.append(now)
             out.append(ok)
         state.update((held,))
-        state.setTimeoutDuration(int(window_seconds * 2_000) or 1)
+        last = int(rows["ts"].max().value // 1_000_000)
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + int(window_seconds * 1_000) + 1)
         yield pd.DataFrame({"key": [key[0]] * len(rows), "ts": rows["ts"].to_numpy(), "admitted": out})
 
-    rows = stream.select(F.col(key_col).alias("key"), F.col(ts_col).cast("timestamp").alias("ts"))
-    return rows.groupBy("key").applyInPandasWithState(admit, f"key {kind}, ts timestamp, admitted boolean", "held array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = stream.select(F.col(key_col).alias("key"), F.col(ts_col).cast("timestamp").alias("ts")).withWatermark("ts", late)
+    return rows.groupBy("key").applyInPandasWithState(admit, f"key {kind}, ts timestamp, admitted boolean", "held array<long>", "append", GroupStateTimeout.EventTimeTimeout)
