@@ -21,7 +21,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = language_id.train_on_folds(docs)
     if not model.langs:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    return language_id.identify(docs, model, docs.columns).filter(F.col("lang_pred") != language_id.UND).select(*docs.columns)
+    # names of its own, as documents may have columns of the usual ones
+    found = language_id.identify(docs, model, docs.columns, pred_col="__lang_pred", score_col="__lang_score")
+    return found.filter(F.col("__lang_pred") != language_id.UND).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,9 @@ GAP = r"[\x20\x09-\x0D]+"
 #: A side of a join is broadcast only after its rows were counted and are at most this many.
 BROADCAST_ROWS = 200_000
 
+#: Rows of an Arrow batch that a worker takes and sends on at once.
+SLICE_ROWS = 512
+
 _own_dirs: dict[str, str] = {}
 
 
@@ -63,3 +67,10 @@ def let(value: Column, body) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def slices(batches: Iterable) -> Iterable:
+    """Arrow batches in slices of few rows, so that what a worker holds beside a batch is small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)

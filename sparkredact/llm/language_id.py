@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import materialize, table
+from .common import slices, table
 from .features import ngram_counts
 
 BITS = 14
@@ -113,7 +113,7 @@ def inverse_frequencies(texts: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, df = 0, np.zeros(1 << BITS, dtype=np.int64)
-        for b in batches:
+        for b in slices(batches):
             for t in b.column(0).to_pylist():
                 n += 1
                 df += ngram_counts(t.lower(), BITS, LONGEST) > 0
@@ -145,7 +145,7 @@ def train(rows: DataFrame, most: int = TRAIN_ROWS) -> LanguageModel:
     idf = inverse_frequencies(rows.select("text"))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out = [tf_idf(t, idf) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([at.astype(np.uint16).tobytes() for at, _ in out]), pa.array([x.astype(np.float32).tobytes() for _, x in out])], names=["doc_id", "lang", "at", "x"])
 
@@ -165,17 +165,20 @@ def train(rows: DataFrame, most: int = TRAIN_ROWS) -> LanguageModel:
     return LanguageModel(langs, idf, w, temperature)
 
 
-def identify(docs: DataFrame, model: LanguageModel, keep: list[str], text_col: str = "text") -> DataFrame:
-    """Columns ``keep`` of ``docs`` with ``lang_pred`` and ``score``."""
+def identify(docs: DataFrame, model: LanguageModel, keep: list[str], text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """Columns ``keep`` of ``docs`` with the predicted language and its score."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+    schema = docs.select(*keep).schema.add(pred_col, "string").add(score_col, "double")
+    names = [*keep, pred_col, score_col]
+    own = text_col in keep and dict(docs.dtypes)[text_col] == "string"  # then the text travels once
+    at = keep.index(text_col) if own else len(keep)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = [sent.value.predict(t) for t in b.column(b.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([x for x, _ in out], type=pa.string()), pa.array([p for _, p in out], type=pa.float64())], names=[*b.schema.names[:-1], "lang_pred", "score"])
+        for b in slices(batches):
+            out = [sent.value.predict(t) for t in b.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array([x for x, _ in out], type=pa.string()), pa.array([p for _, p in out], type=pa.float64())], names=names)
 
-    return docs.select(*keep, docs[text_col].cast("string").alias("__text")).mapInArrow(predict, schema)
+    return docs.select(*keep, *([] if own else [docs[text_col].cast("string").alias("__text")])).mapInArrow(predict, schema)
 
 
 def train_on_folds(docs: DataFrame, held: int = 1, folds: int = 3) -> LanguageModel:

@@ -23,9 +23,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, slices, table
 from .token_files import tokenizer_path
-from .tokens import encode_column, ids_crc32, slices
+from .tokens import encode_column, ids_crc32
 
 SEQUENCE = 2048
 OPEN_BINS = 1 << 15

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import GAP, table
+from .common import GAP, slices, table
 from .features import ngram_counts, utf8_histogram
 from .language_id import fold
 
@@ -137,7 +137,7 @@ def _features_of(docs: DataFrame, rows: int) -> np.ndarray:
         return np.zeros((0, DIMS), dtype=np.float32)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([text_features(t).tobytes() for t in b.column(1).to_pylist()])], names=["doc_id", "x"])
 
     got = docs.filter(h <= last).limit(rows).mapInArrow(features, "doc_id long, x binary").collect()
@@ -162,7 +162,7 @@ def score(docs: DataFrame, model: LinearModel | None, keep: list[str], text_col:
     schema = docs.select(*keep).schema.add("score", "double")
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(b.num_columns - 1).to_pylist()
             s = np.full(len(texts), 0.5) if sent.value is None else sent.value.score(np.array([text_features(t) for t in texts]).reshape(-1, DIMS))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s.astype(np.float64))], names=[*b.schema.names[:-1], "score"])

@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import new_path, table
-from .tokens import encode_column, ids_crc32, slices
+from .common import new_path, slices, table
+from .tokens import encode_column, ids_crc32
 
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10

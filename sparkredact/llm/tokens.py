@@ -19,8 +19,6 @@ import numpy as np
 
 CACHE_PARTS = 300_000
 BATCH_CHARS = 1_000_000
-#: Rows of an Arrow batch that are encoded and sent on at once.
-SLICE_ROWS = 512
 #: Words that go to the model at once.
 GROUP = 100
 #: The split pattern of byte-level BPE.
@@ -173,13 +171,6 @@ class TextEncoder:
         return [whole[i] if i in whole else np.concatenate([head_ids[head_at[i] : head_at[i + 1]], ids[at[i] : at[i + 1]]]) for i in range(len(texts))]
 
 
-def slices(batches: Iterable) -> Iterable:
-    """Arrow batches in slices of few rows, so that what a worker holds beside a batch is small."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, SLICE_ROWS):
-            yield batch.slice(at, SLICE_ROWS)
-
-
 @lru_cache(maxsize=2)
 def encoder(path: str) -> TextEncoder:
     """One encoder for each worker process."""
