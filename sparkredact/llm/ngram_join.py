@@ -41,13 +41,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, small, table
+from .common import materialize, slices, small, table
 from .divide_skip import divide_skip
 from .graph import components
 from .shingles import fingerprint, mix, shingle_set
 
 #: Shingles of a bucket, and those a task deals out at once.
-BUCKET_SHINGLES, LOCAL_SHINGLES, LOCAL_DOCS = 3_000_000, 1_000_000, 60_000
+BUCKET_SHINGLES, LOCAL_SHINGLES, LOCAL_DOCS = 1_500_000, 1_000_000, 60_000
 LEADER_SHINGLES = 24
 BAND = 1.25
 BLOCK_DOCS = 512
@@ -65,7 +65,7 @@ def shingle_meta(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``(doc_id, n, fp1, fp2)`` of every row: set size and fingerprint."""
 
     def meta(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out = [(len(s), *fingerprint(s)) for s in map(shingle_set, b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[k] for r in out], type=pa.int64()) for k in range(3))], names=["doc_id", "n", "fp1", "fp2"])
 
@@ -132,7 +132,7 @@ def shared_shingles(docs: DataFrame, total: int) -> DataFrame:
             rows = list(_deal(np.array(ids, np.int64), sets, buckets, next(turn)))
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 6))], names=PACKED)
 
-        for b in batches:
+        for b in slices(batches):
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 s = shingle_set(text.as_py())
                 if len(s):
@@ -186,7 +186,8 @@ def shared_shingles(docs: DataFrame, total: int) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows, at = [], None
             for batch in batches:
-                for r in batch.to_pylist():
+                for k in range(batch.num_rows):  # row by row, as a batch may hold several buckets
+                    r = batch.slice(k, 1).to_pylist()[0]
                     if rows and (r["bucket"] != at or at < 0):
                         yield from work(rows, at)
                         rows = []
@@ -301,7 +302,8 @@ def block_links(sets: DataFrame) -> DataFrame:
         found = search_blocks(rows["doc_id"].tolist(), rows["n"].tolist(), rows["comp"].tolist(), list(rows["toks"]), [o == i for o in own], [o == j for o in own])
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return cells.groupBy("g", "i", "j").applyInPandas(search, "a long, b long")
+    # rows may lie by group already, which would do for the grouping but leave a group's blocks in one task
+    return cells.repartition("g", "i", "j").groupBy("g", "i", "j").applyInPandas(search, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
