@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 SPAN = "struct<start:int,end:int,text:string,label:string,score:float>"
 SPANS = f"array<{SPAN}>"
+#: Items that a fold takes before it sets finished spans aside; no effect on results.
+RUN = 64
 
 
 def let(value: Column, body) -> Column:
@@ -14,6 +16,29 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def fold_spans(items: Column, start: Column, step) -> Column:
+    """Spans ``out`` that folding ``items`` from the struct ``start`` by ``step`` makes.
+
+    A step may change the last span and add others. Those before are set aside after each run of items,
+    as a step copies all that it holds.
+    """
+
+    def fold(items: Column) -> Column:
+        runs = F.ceil(F.size(items) / RUN).cast("int")
+        at = F.when(runs > 0, F.sequence(F.lit(0), runs - 1)).otherwise(F.array().cast("array<int>"))
+
+        def run(all_: Column, i: Column) -> Column:
+            def aside(acc: Column) -> Column:
+                n = F.greatest(F.size(acc["out"]) - 1, F.lit(0))
+                return F.struct(F.concat(all_["done"], F.slice(acc["out"], F.lit(1), n)).cast(SPANS).alias("done"), acc.withField("out", F.slice(acc["out"], n + 1, F.lit(1))).alias("acc"))
+
+            return let(F.aggregate(F.slice(items, i * RUN + 1, F.lit(RUN)), all_["acc"], step), aside)
+
+        return F.aggregate(at, F.struct(no_spans().alias("done"), start.alias("acc")), run, lambda a: F.concat(a["done"], a["acc"]["out"]))
+
+    return let(items, fold).cast(SPANS)
+
+
 def span(start: Column, end: Column, text: Column, label: Column | str, score: Column | float) -> Column:
     label = F.lit(label) if isinstance(label, str) else label
     score = F.lit(float(score)) if isinstance(score, (int, float)) else score
@@ -60,4 +85,4 @@ def pattern_spans(text: Column, pattern: str, label: str, score: float) -> Colum
         end = at + F.octet_length(pair["hit"])
         return F.struct(end.alias("pos"), F.when(pair["hit"] != "", F.concat(acc["out"], F.array(span(at, end, pair["hit"], label, score)))).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(F.arrays_zip(gaps.alias("gap"), hits.alias("hit")), start, step, lambda a: a["out"])
+    return fold_spans(F.arrays_zip(gaps.alias("gap"), hits.alias("hit")), start, step)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .spans import SPANS, byte_slice, let, no_spans, span
+from .spans import SPANS, byte_slice, fold_spans, let, no_spans, span
 
 REPLACE_FACTOR = 1.3
 MERGE_GAP = 2
@@ -39,13 +39,13 @@ def dedup(spans: Column) -> Column:
 def merge_adjacent(spans: Column, text: Column) -> Column:
     """Neighbours with the same label and a gap of at most two bytes become one span, gap included."""
 
-    def step(kept: Column, s: Column) -> Column:
+    def step(acc: Column, s: Column) -> Column:
         def against(last: Column) -> Column:
             gap = s["start"] - last["end"]
             joined = span(last["start"], s["end"], F.concat(last["text"], byte_slice(text, last["end"], s["start"]), s["text"]), last["label"], F.greatest(last["score"], s["score"]))
             near = last.isNotNull() & (s["label"] == last["label"]) & gap.between(0, MERGE_GAP)
-            return F.when(near, _replace_last(kept, joined)).otherwise(F.concat(kept, F.array(s)))
+            return F.struct(F.when(near, _replace_last(acc["out"], joined)).otherwise(F.concat(acc["out"], F.array(s))).cast(SPANS).alias("out"))
 
-        return let(F.try_element_at(kept, F.lit(-1)), against)
+        return let(F.try_element_at(acc["out"], F.lit(-1)), against)
 
-    return F.aggregate(spans, no_spans(), step).cast(SPANS)
+    return fold_spans(spans, F.struct(no_spans().alias("out")), step)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.spans import SPANS, byte_slice, let, no_spans, span
+from ..functions.spans import RUN, SPANS, byte_slice, fold_spans, let, no_spans, span
 
 CANDIDATE_FLOOR = 0.01
 MULTI_LABEL_FLOOR = 0.5
@@ -48,9 +48,26 @@ def greedy_select(candidates: Column, words: Column, labels: Column, text: Colum
     """
     usable = F.filter(candidates, lambda c: c["score"] > F.lit(floor).cast("float"))
     ranked = F.array_sort(F.transform(usable, lambda c, i: F.struct((-c["score"]).alias("k"), c["word_start"].alias("a"), c["word_end"].alias("b"), c["class_idx"].alias("c"), i.alias("i"), c["score"].alias("score"))))
-    none = F.filter(ranked, lambda c: F.lit(False))
-    free = lambda kept, c: ~F.exists(kept, lambda k: (k["a"] <= c["b"]) & (k["b"] >= c["a"]))
-    kept = F.aggregate(ranked, none, lambda acc, c: F.when(free(acc, c), F.concat(acc, F.array(c))).otherwise(acc))
+    def select(ranked: Column) -> Column:
+        none = F.slice(ranked, 1, 0)
+        n_words = F.coalesce(F.array_max(F.transform(ranked, lambda c: c["b"])) + 1, F.lit(0))
+        start = F.struct(F.repeat(F.lit("."), n_words).cast("binary").alias("taken"), none.alias("kept"))
+        runs = F.ceil(F.size(ranked) / RUN).cast("int")
+        at = F.when(runs > 0, F.sequence(F.lit(0), runs - 1)).otherwise(F.array().cast("array<int>"))
+
+        def step(acc: Column, c: Column) -> Column:
+            width = c["b"] - c["a"] + 1
+            free = ~F.substring(acc["taken"], c["a"] + 1, width).cast("string").contains("x")
+            taken = F.overlay(acc["taken"], F.repeat(F.lit("x"), width).cast("binary"), c["a"] + 1, width)
+            return F.when(free, F.struct(taken.alias("taken"), F.concat(acc["kept"], F.array(c)).alias("kept"))).otherwise(acc)
+
+        def run(acc: Column, i: Column) -> Column:
+            got = F.aggregate(F.slice(ranked, i * RUN + 1, F.lit(RUN)), F.struct(acc["taken"].alias("taken"), none.alias("kept")), step)
+            return let(got, lambda g: F.struct(g["taken"].alias("taken"), F.concat(acc["kept"], g["kept"]).alias("kept")))
+
+        return F.aggregate(at, start, run, lambda a: a["kept"])
+
+    kept = let(ranked, select)  # a byte for each word tells whether it is taken, so a candidate isn't compared with all kept ones
     in_order = F.array_sort(F.transform(kept, lambda c: F.struct(c["a"].alias("a"), c["b"].alias("b"), c["c"].alias("c"), c["score"].alias("score"))))
     known = F.filter(in_order, lambda c: c["c"] < F.size(labels))
 
@@ -84,7 +101,7 @@ def bio_decode(tokens: Column, text: Column, floor: float = RAW_FLOOR) -> Column
         off = (t["tag"] == "O") | (t["prob"] < floor_)
         return F.when(off, F.struct(acc["out"].alias("out"), F.lit(False).alias("open"))).otherwise(F.struct(out.cast(SPANS).alias("out"), F.lit(True).alias("open")))
 
-    return F.aggregate(plain, start, step, lambda a: a["out"])
+    return fold_spans(plain, start, step)
 
 
 def instance_count(logits: Column) -> Column:

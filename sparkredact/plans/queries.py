@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import redaction, rules, scanners, sweeps
-from ..functions.spans import SPANS, let, pattern_spans, with_char_offsets
+from ..functions.spans import SPANS, let, pattern_spans, span, with_char_offsets
 from ..functions.vocab import CANONICAL, SERVER_THRESHOLDS
 from ..operators import corpus, decode, limiter
 from ..operators.pipeline import Config, detect, detect_spans, length_error, run_pipeline
@@ -140,12 +140,10 @@ def dedup_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merge_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of the start of a line as spans of one label, in runs by their length."""
-    name = F.when(F.length("s.word") % 3 == 0, "street_address").otherwise("person_name")
-    line = _docs(spark, sf_dir).select("doc_id", F.element_at(F.split("text", "\n"), 1).alias("text"))
-    rows = line.select("doc_id", "text", F.posexplode(scanners.word_spans(F.col("text"))).alias("i", "s")).groupBy("doc_id", "text")
-    made = rows.agg(F.array_sort(F.collect_list(F.struct(F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.word").alias("text"), name.alias("label"), F.lit(0.5).cast("float").alias("score")))).cast(SPANS).alias("spans"))
-    return _rows(made.withColumn("spans", sweeps.merge_adjacent(F.col("spans"), F.col("text"))))
+    """All words of a text as spans of one label, in runs by their length."""
+    name = lambda w: F.when(F.length(w["word"]) % 3 == 0, "street_address").otherwise("person_name")
+    made = F.transform(scanners.word_spans(F.col("text")), lambda w: span(w["start"], w["end"], w["word"], name(w), 0.5)).cast(SPANS)
+    return _rows(_docs(spark, sf_dir).select("doc_id", sweeps.merge_adjacent(made, F.col("text")).alias("spans")))
 
 
 def pipeline_full(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,25 +181,25 @@ def regulation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def greedy_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every one- to three-word range of a text's first line, scored by its place."""
+    """Every one- to three-word range of a text, scored by its place."""
     labels = F.array(F.lit("person_name"), F.lit("street_address"))
     score = lambda w: (((F.col("doc_id") * 7 + w["word_start"] * 13 + w["word_end"] * 29) % 101) / 101).cast("float")
 
-    def select(line: Column) -> Column:
+    def select(text: Column) -> Column:
         def of(words: Column) -> Column:
             cand = F.transform(scanners.span_windows(F.size(words), 3), lambda w: F.struct(w["word_start"].alias("word_start"), w["word_end"].alias("word_end"), ((w["word_start"] + w["word_end"]) % 3).alias("class_idx"), score(w).alias("score")))
-            return decode.greedy_select(cand, words, labels, line)
+            return decode.greedy_select(cand, words, labels, text)
 
-        return let(scanners.word_spans(line), of)
+        return let(scanners.word_spans(text), of)
 
-    return _rows(_docs(spark, sf_dir).select("doc_id", let(F.element_at(F.split("text", "\n"), 1), select).alias("spans")))
+    return _rows(_docs(spark, sf_dir).select("doc_id", select(F.col("text")).alias("spans")))
 
 
 def bio_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tags by the length of words in a text's first line."""
+    """Tags by the length of words in a text."""
     tag = lambda w: F.when(F.length(w["word"]) % 4 == 0, "O").when(F.length(w["word"]) % 4 == 1, "B-NAME").when(F.length(w["word"]) % 4 == 2, "I-NAME").otherwise("I-ADDR")
     token = lambda w, i: F.struct(w["start"].alias("start"), w["end"].alias("end"), tag(w).alias("tag"), ((i * 37 % 100) / 100).cast("float").alias("prob"), F.lit(False).alias("special"))
-    spans = let(F.element_at(F.split("text", "\n"), 1), lambda line: decode.bio_decode(F.transform(scanners.word_spans(line), token), line))
+    spans = decode.bio_decode(F.transform(scanners.word_spans(F.col("text")), token), F.col("text"))
     return _rows(_docs(spark, sf_dir).select("doc_id", spans.alias("spans")))
 
 
