@@ -2,7 +2,8 @@
 
 A byte-level BPE with the usual split pattern never joins what stands before a single space with the
 space and what follows, so a text may be cut in front of its spaces and the parts encoded once each.
-The exception is a space inside a longer run of white space; texts with such a run are encoded whole.
+The exceptions are a space inside a longer run of white space and the strings of added tokens, such as
+``<|endoftext|>``, which are tokens of their own; texts with either are encoded whole.
 Parts are kept in a cache of bounded size. Unknown parts are cut by the split pattern into words, and
 unknown words go to the library's model in groups, as they are rarer than unknown parts.
 """
@@ -75,14 +76,15 @@ def byte_alphabet() -> dict[int, str]:
 
 
 class TextEncoder:
-    """Encodes texts as ``Tokenizer.encode(text, add_special_tokens=False).ids`` with special strings as ordinary text."""
+    """Encodes texts as ``Tokenizer.encode(text, add_special_tokens=False).ids``."""
 
     def __init__(self, path: str, cache_parts: int = CACHE_PARTS):
         import regex
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # a normalised text may hold an added token that the text itself doesn't, so then all texts are encoded whole
+        self.added = [""] if self.tokenizer.normalizer is not None else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.by_word = Tokenizer(self.tokenizer.model)
         self.by_word.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
         self.split = regex.compile(SPLIT).findall
@@ -157,7 +159,7 @@ class TextEncoder:
         return out
 
     def _batch(self, texts: list[str]) -> list[np.ndarray]:
-        whole = {i: self._plain(t) for i, t in enumerate(texts) if UNSAFE.search(t)}
+        whole = {i: self._plain(t) for i, t in enumerate(texts) if UNSAFE.search(t) or any(a in t for a in self.added)}
         cut = [[""] if i in whole else t.split(" ") for i, t in enumerate(texts)]
         heads = [self.split(c[0]) for c in cut]
         head_lens, head_ids = self._by_words(list(chain.from_iterable(heads)))
