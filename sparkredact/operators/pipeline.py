@@ -23,13 +23,18 @@ class Config:
     by_label: Mapping[str, float] = field(default_factory=dict)
     auto_redact: float = redaction.AUTO_REDACT
     raw: float = 0.08
-    max_bytes: int = MAX_BYTES
+    max_bytes: int | None = MAX_BYTES
     per_minute: int = 120
 
     @classmethod
     def server(cls) -> Config:
         return cls(by_label=SERVER_THRESHOLDS)
 
+    @classmethod
+    def corpus(cls, **changes) -> Config:
+        """For texts at rest: no limit of length, as that guards requests."""
+        return cls(max_bytes=None, **changes)
+
 
 def run_pipeline(df: DataFrame, text_col: str = "text", spans_col: str = "entities", config: Config = Config()) -> DataFrame:
     """``df`` with its candidate spans turned into final ones. Each stage is a column of its own, so none is computed twice."""
@@ -51,7 +56,9 @@ def scan_pipeline(df: DataFrame, text_col: str = "text", spans_col: str = "entit
     return df.withColumn(spans_col, F.when(F.size(spans_col) > 1, sweeps.merge_adjacent(sweeps.dedup(F.col(spans_col)), text)).otherwise(F.col(spans_col)))
 
 
-def length_error(text: Column, max_bytes: int = MAX_BYTES) -> Column:
+def length_error(text: Column, max_bytes: int | None = MAX_BYTES) -> Column:
+    if max_bytes is None:
+        return F.lit(None).cast("string")
     return F.when(F.octet_length(text) > max_bytes, "text_too_long")
 
 

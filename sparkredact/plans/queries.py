@@ -41,7 +41,7 @@ def _rows(df: DataFrame, col: str = "spans") -> DataFrame:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect(_docs(spark, sf_dir)).filter(F.size("entities") > 0).select("doc_id", F.size("entities").cast("long").alias("n_entities"), corpus.entity_types(F.col("entities")).alias("types"))
+    return detect(_docs(spark, sf_dir), config=Config.corpus()).filter(F.size("entities") > 0).select("doc_id", F.size("entities").cast("long").alias("n_entities"), corpus.entity_types(F.col("entities")).alias("types"))
 
 
 def scan_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +64,7 @@ def scan_char_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = detect_spans(_docs(spark, sf_dir), ["lang", "source"])
+    rows = detect_spans(_docs(spark, sf_dir), ["lang", "source"], config=Config.corpus())
     return rows.rollup("lang", "source").agg(F.count("*").alias("entities"), F.sum((F.col("type") == "email_address").cast("long")).alias("emails"))
 
 
@@ -240,16 +240,16 @@ def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = corpus.audit_log(detect(_docs(spark, sf_dir)), ["doc_id"])
+    out = corpus.audit_log(detect(_docs(spark, sf_dir), config=Config.corpus()), ["doc_id"])
     return out.withColumn("highest_confidence", F.round(F.col("highest_confidence").cast("double"), 4))
 
 
 def source_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.file_report(detect(_docs(spark, sf_dir)), ["source"])
+    return corpus.file_report(detect(_docs(spark, sf_dir), config=Config.corpus()), ["source"])
 
 
 def batch_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.batch_stats(detect(_docs(spark, sf_dir)))
+    return corpus.batch_stats(detect(_docs(spark, sf_dir), config=Config.corpus()))
 
 
 def chunked_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,7 +263,7 @@ def sentence_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def log_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    found = detect(corpus.batches(lines, ["doc_id"], ["line"], "text", corpus.LOG_BATCH, corpus.LOG_LEAST), "text")
+    found = detect(corpus.batches(lines, ["doc_id"], ["line"], "text", corpus.LOG_BATCH, corpus.LOG_LEAST), "text", config=Config.corpus())
     return found.select("doc_id", "batch", F.size("entities").cast("long").alias("entities")).filter("entities > 0")
 
 
@@ -286,12 +286,12 @@ def strict_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scan_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir).withColumn("path", F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit(".txt")))
-    return files.scan_report(docs).select("file", "count", "types")
+    return files.scan_report(docs, config=Config.corpus(by_label=SERVER_THRESHOLDS)).select("file", "count", "types")
 
 
 def line_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir).withColumn("path", F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit(".txt")))
-    return files.annotations(files.scan_report(docs), docs).select("file", F.col("line").cast("long").alias("line"), "type")
+    return files.annotations(files.scan_report(docs, config=Config.corpus(by_label=SERVER_THRESHOLDS)), docs).select("file", F.col("line").cast("long").alias("line"), "type")
 
 
 QUERIES = {
