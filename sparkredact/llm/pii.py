@@ -1,14 +1,13 @@
 """Personal data: pattern spans, and information-theoretic sanitisation of the terms that reveal them.
 
 Base spans are e-mail addresses, IPv4 addresses, card and phone numbers. Every distinct value is a
-protected entity. Terms near it (words of four letters or more among the ``CONTEXT`` words on either
-side) may give it away: with n documents in the corpus, IC(e) = log2(n / n_e) is what the entity
-discloses itself, and PMI(t, e) = log2(n * n_te / (n_t * n_e)) what the term discloses of it, where
-n_t and n_e count the documents with the term and with the entity, and n_te those with the term near
-the entity. In documents that hold the entity and the term near it, the term is generalised where
-PMI comes within ``SLACK_BITS`` of IC, so that it leaves that much doubt about the entity at most, and
-removed where it reaches IC, that is, where the term occurs nowhere without the entity; ``SUPPORT``
-documents must show the two together.
+protected entity. Terms (runs of letters) of the documents that hold it may give it away: with n documents
+in the corpus, IC(e) = log2(n / n_e) is what the entity discloses itself, and PMI(t, e) =
+log2(n * n_te / (n_t * n_e)) what the term discloses of it, where n_t, n_e and n_te count the documents
+with the term, with the entity and with both, wherever in the text they are. In every document that
+holds the term, it is generalised where PMI comes within ``SLACK_BITS`` of IC, so that it leaves that
+much doubt about the entity at most, and removed where it reaches IC, that is, where the term occurs
+nowhere without the entity; ``SUPPORT`` documents must show the two together.
 
 All is DataFrame functions. Spans are found inside the row; the counts are aggregations with partial
 sums; the corpus is joined with the candidate terms only. The patterns have possessive repeats and
@@ -25,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, materialize, small, table, words
+from .common import let, materialize, small, table
 
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}"
@@ -33,11 +32,9 @@ CARD = r"[0-9](?:[ -]?[0-9])++"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-#: Words on either side of an entity that count as near it, and the characters in which they are looked for.
-CONTEXT, CONTEXT_CHARS = 8, 200
 SUPPORT = 2
 SLACK_BITS = 1.0
-TERM = r"\p{L}{4,}"
+TERM = r"\p{L}+"
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]", "gone": ""}
 _SPANS = "array<struct<start:bigint,end:bigint,value:string>>"
 
@@ -86,15 +83,9 @@ def with_base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return docs.withColumns({"pii_key": F.xxhash64(F.col(id_col), text)} | {f"pii_{k}": base_spans(text, k) for k in KINDS})
 
 
-def near_terms(text: Column, start: Column, end: Column) -> Column:
-    """Distinct lower-case terms among the words near a span; words cut by the look-out's ends don't count."""
-    left = F.substring(text, F.greatest(F.lit(1), start + 1 - CONTEXT_CHARS).cast("int"), F.least(start, F.lit(CONTEXT_CHARS)).cast("int"))
-    right = F.substring(text, (end + 1).cast("int"), F.lit(CONTEXT_CHARS))
-    left = F.when(start > CONTEXT_CHARS, F.regexp_replace(left, r"\A\S++", "")).otherwise(left)
-    right = F.when(F.length(right) == CONTEXT_CHARS, F.regexp_replace(right, r"(?<!\S)\S++\z", "")).otherwise(right)
-    before = let(words(left), lambda w: F.slice(w, F.greatest(F.lit(1), F.size(w) - (CONTEXT - 1)), F.lit(CONTEXT)))
-    near = F.array_join(F.concat(before, F.slice(words(right), 1, CONTEXT)), " ")
-    return F.array_distinct(F.regexp_extract_all(F.lower(near), F.lit(TERM), F.lit(0)))
+def text_terms(text: Column) -> Column:
+    """Distinct lower-case terms of a text."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
 
 def disclosing_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -103,27 +94,28 @@ def disclosing_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     found = with_base_spans(docs.select(id_col, text_col), id_col, text_col).filter(sum((F.size(f"pii_{k}") for k in KINDS), F.lit(0)) > 0)
 
     def of(kind: str) -> Column:
-        return F.transform(f"pii_{kind}", lambda s: F.struct(F.lit(kind).alias("kind"), F.lower(s["value"]).alias("value"), near_terms(text, s["start"], s["end"]).alias("terms")))
+        return F.transform(f"pii_{kind}", lambda s: F.xxhash64(F.lit(kind), F.lower(s["value"])))
 
-    entities = F.flatten(F.array(*map(of, KINDS)))
-    rows = found.select("pii_key", F.explode(entities).alias("e")).select("pii_key", F.xxhash64("e.kind", "e.value").alias("entity"), "e.terms")
+    rows = found.select("pii_key", F.array_distinct(F.flatten(F.array(*map(of, KINDS)))).alias("entities"), text_terms(text).alias("terms")).dropDuplicates(["pii_key"])
     rows = materialize(rows, "pii-entities")
-    n_e = rows.select("pii_key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    near = rows.select("pii_key", "entity", F.explode("terms").alias("term")).distinct()
-    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= SUPPORT)
+    held = rows.select("pii_key", F.explode("entities").alias("entity"))
+    n_e = materialize(held.groupBy("entity").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= SUPPORT), "pii-n-e")  # others have no pair with support
+    held = held.join(small(n_e), "entity").groupBy("pii_key").agg(F.collect_list("entity").alias("entities"))
+    both = rows.select("pii_key", "terms").join(held, "pii_key").select("entities", F.explode("terms").alias("term")).select("term", F.explode("entities").alias("entity"))
+    pairs = both.groupBy("entity", "term").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= SUPPORT)
     pairs = materialize(pairs, "pii-pairs")
     candidates = materialize(pairs.select("term").distinct(), "pii-terms")
     n_terms = candidates.count()
-    corpus = docs.select(text.alias("text"))
+    corpus = docs.select(F.xxhash64(F.col(id_col), text).alias("pii_key"), text.alias("text"))
     n = corpus.count()
-    own = corpus.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
+    own = corpus.select("pii_key", F.explode(text_terms(F.col("text"))).alias("term"))
     n_t = own.join(small(candidates, n_terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
     scored = pairs.join(n_t, "term").join(n_e, "entity")
     ic = F.log2(F.lit(float(n)) / F.col("n_e"))
     pmi = F.log2(F.lit(float(n)) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
-    shown = scored.filter((ic > 0) & (pmi >= ic - SLACK_BITS - 1e-9)).select("entity", "term", (F.col("n_te") >= F.col("n_t")).alias("gone"))
+    shown = scored.filter((ic > 0) & (pmi >= ic - SLACK_BITS - 1e-9)).groupBy("term").agg(F.max(F.col("n_te") >= F.col("n_t")).alias("gone"))
     shown = materialize(shown, "pii-shown")
-    hit = near.join(small(shown), ["entity", "term"]).groupBy("pii_key", "term").agg(F.max("gone").alias("gone"))
+    hit = own.join(small(shown), "term").select("pii_key", "term", "gone").distinct()
     return hit.groupBy("pii_key").agg(F.array_sort(F.collect_list(F.struct("term", "gone"))).alias("terms"))
 
 
