@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkredact.llm import language_id, mixing, ngram_join, packing, pii
-from sparkredact.llm.common import materialize, small, table, words
+from sparkredact.llm.common import materialize, small, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,12 +54,11 @@ def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each time that the mix takes a document, in shards in their shuffled order.
 
-    The document at which a source's target is met is cut to the words that are still wanted.
+    The document at which a source's target is met is taken whole, so a source may pass it by one document.
     """
     mixed = mixing.mix(docs).withColumn("mix_draw", F.explode("mix_draws"))
-    cut = F.when(F.col("mix_draw.words") < F.col("mix_size"), F.array_join(F.slice(words(F.col("text")), F.lit(1), F.col("mix_draw.words").cast("int")), " ")).otherwise(F.col("text"))
-    mixed = mixed.withColumn("text", cut).withColumns({"mix_shard": F.col("mix_draw.shard"), "mix_place": F.col("mix_draw.place")})
-    return _sized(mixed.repartition("mix_shard").sortWithinPartitions("mix_shard", "mix_place").select(*docs.columns))
+    mixed = mixed.withColumns({"mix_shard": F.col("mix_draw.shard"), "mix_place": F.col("mix_draw.place")})
+    return mixed.repartition("mix_shard").sortWithinPartitions("mix_shard", "mix_place").select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
