@@ -1,10 +1,10 @@
-"""Best-fit packing into sequences of bounded length: bounded-space, online.
+"""Best-fit packing into sequences of bounded length, longest first within a task.
 
 Documents longer than a sequence are cut so that all pieces but the first are full; full pieces are
 sequences of their own. The others are packed by best fit: each goes to the open bin with the least
 free space that holds it. Open bins are kept by free space, and a bitset says which free spaces occur,
 so the best bin is the lowest set bit at or above the piece's length. The number of open bins is fixed;
-when one more is needed, the fullest is closed.
+when one more is needed, the fullest is closed. At the usual lengths a task needs fewer, so none is.
 
 Pieces are dealt by hash to tasks, about ``GROUP_PIECES`` each, longest first within a task; a task
 holds lengths and ids only. What tasks leave open is little against what they fill.
