@@ -7,8 +7,12 @@ import math
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
+
 #: Weight of the cost of a binary probe against a heap step, for the number of long lists.
 MU = 0.0085
+#: Lists of at most so many records are always merged: a probe would cost more than their heap steps.
+SHORT = 16
 
 
 def merge_skip(lists: list[list[int]], least: int) -> Iterator[tuple[int, int]]:
@@ -41,18 +45,30 @@ def merge_skip(lists: list[list[int]], least: int) -> Iterator[tuple[int, int]]:
                 heapq.heappush(heap, (lists[i][at[i]], i))
 
 
-def divide_skip(lists: list[list[int]], least: int, mu: float = MU) -> Iterator[tuple[int, int]]:
-    """As ``merge_skip``: the longest lists are left out of the merge and probed for what it finds."""
+def divide_skip(lists: list[np.ndarray], least: int, mu: float = MU) -> tuple[np.ndarray, np.ndarray]:
+    """Records in at least ``least`` of the sorted ``lists``, and in how many.
+
+    The short lists are merged by a heap, to the records that reach ``least`` if all long lists hold
+    them; the long lists are probed for these by binary search, and records that can't reach it any
+    more drop out on the way.
+    """
+    none = np.zeros(0, np.int64)
     if least <= 0 or len(lists) < least:
-        return
+        return none, none
     by_length = sorted(lists, key=len)
-    n_long = min(least - 1, int(least / (mu * math.log2(max(2, len(by_length[-1]))) + 1)))
-    short, long = by_length[: len(lists) - n_long], by_length[len(lists) - n_long :]
-    for record, n in merge_skip(short, least - n_long):
-        for k, x in enumerate(long):
-            if n + len(long) - k < least:
-                break
-            p = bisect_left(x, record)
-            n += p < len(x) and x[p] == record
-        if n >= least:
-            yield record, n
+    n_long = min(least - 1, int(least / (mu * math.log2(max(2, len(by_length[-1]))) + 1)), sum(len(x) > SHORT for x in by_length))
+    cut = len(lists) - n_long
+    found = list(merge_skip([x.tolist() for x in by_length[:cut]], least - n_long))
+    if not found:
+        return none, none
+    records, counts = (np.array(c, dtype=np.int64) for c in zip(*found, strict=True))
+    for k, x in enumerate(by_length[cut:]):
+        may = counts + (n_long - k) >= least
+        if not may.all():
+            records, counts = records[may], counts[may]
+        if not len(records):
+            break
+        p = np.searchsorted(x, records)
+        counts = counts + (x[np.minimum(p, len(x) - 1)] == records)
+    reach = counts >= least
+    return records[reach], counts[reach]

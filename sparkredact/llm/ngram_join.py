@@ -1,59 +1,56 @@
 """N-gram Jaccard join: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Exact, and without all pairs of a group of copies:
-
-1. Each text becomes a sorted set of 64-bit shingle hashes; texts with the same set are one class, for
-   which the smallest id stands. Only these go on.
-2. Shingles are dealt out by hash, packed, to find those that two classes share. A task first marks the
-   shingles it holds twice itself, so a shingle of very many documents travels once a task. As
-   |x and y| >= 0.8 |x|, only documents with 80 % shared shingles can link; few remain. Their shared
-   shingles are all that overlaps need.
-3. Star links: each document is compared with a leader or two, the most central documents (least unshared
-   shingles) under its smallest shingles, in its own length band and the one below. Verified links give
-   first components, which close large groups of copies with one comparison a document.
-4. A shingle is open if documents of different components have it. Any link that is still missing
-   overlaps in open shingles only, so documents with fewer than 80 % open ones drop out, repeatedly.
-5. What remains is grouped by shared shingles, groups are cut into blocks of bounded size, and each pair
-   of blocks is searched by T-occurrence with DivideSkip over inverted lists: short lists are merged by
-   a heap, long ones probed. It yields a link for each union that the pair of blocks can make.
-6. Components of all links, brought back to every document by its class.
-
-Pairs come out as links between class representatives that connect all components (``links``), with
-the membership in ``near_duplicates``. Hashes have 64 bits: two shingles of one comparison that differ
-but share a hash would be taken as equal.
-
-Defined cases: null text and texts without words have an empty set and link with nothing; rows with
-equal ids count as one document for links; a null id links with nothing, unless it is a copy of a text
-with an id, whose component it gets; an empty table gives no rows; extra columns are ignored.
+Exact, by T-occurrence search, and without all pairs of a group of copies:
+
+1. Each text becomes a sorted set of 64-bit shingle hashes; rows with the same set are one class.
+2. Prefix filter: linked sets share a fifth of their lowest two fifths of hashes, see ``need``. These
+   prefixes meet by hash, and classes without so many shared hashes drop out. A task first merges the
+   hashes that it holds twice itself, so the hash of a passage in very many documents travels once a task.
+3. What stays is counted again, among itself, and put in order from rare to frequent. Linked sets share one
+   of the first ``size - need + 1`` of these: such a hash leads a class to the cells it has to search.
+   A cell holds classes of one length band with the same lowest hash, so near copies lie in few cells.
+   A class searches its own band and the next only, for classes of its size or larger.
+4. Cells are cut to blocks by size, and the classes that search a block to portions. A task builds the
+   inverted lists of a block over whole sets, and each class is searched for by DivideSkip: a heap merges
+   the short lists, the long ones are probed, and those reaching the overlap are links. All links come from
+   here. A block sums up the links of each class, and sends on those that connect what it holds only.
+5. Components of these, brought back to every row by its class.
+
+A row's number of links counts copies too. Pairs come out as links between class representatives that
+connect all components (``links``), with the membership in ``near_duplicates``. Hashes and the numbers of
+classes have 64 bits: two shingles of one comparison, or two sets, that differ but share one would be taken
+as equal.
+
+Defined cases: null text and texts without words have an empty set and link with nothing; every row is a
+document of its own, also with a repeated or a null id, and a component's id is the smallest id in it, null
+if there is none; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
-from collections import Counter
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .common import materialize, slices, small, table
 from .divide_skip import divide_skip
 from .graph import components
-from .shingles import fingerprint, mix, shingle_set
+from .shingles import class_number, shingle_set
 
-#: Shingles of a bucket, and those a task deals out at once.
-BUCKET_SHINGLES, LOCAL_SHINGLES, LOCAL_DOCS = 1_500_000, 1_000_000, 60_000
-LEADER_SHINGLES = 24
-BAND = 1.25
-BLOCK_DOCS = 512
-OPEN_ROUNDS = 4
-PACKED = ["bucket", "toks", "place", "docs", "sizes", "marks"]
-SHARED = "doc_id long, n long, toks array<long>"
+#: Shingles and classes whose prefixes a task merges at once, and rows that it sends on at once.
+LOCAL_SHINGLES, LOCAL_CLASSES, SENT_ROWS = 1_000_000, 40_000, 50_000
+#: Ratio of a length band; above 1.25, the greatest ratio of linked sizes, so that these differ by one band at most.
+BAND = 1.26
+#: Shingles and classes of a block, and those of a portion that searches it.
+BLOCK_SHINGLES, BLOCK_CLASSES = 300_000, 512
+PORTION_SHINGLES, PORTION_CLASSES = 100_000, 128
+CELL = ["home", "band"]
+FOUND = "a long, b long, n_links long"
 
 
 def linked(inter, n_x, n_y):
@@ -61,16 +58,34 @@ def linked(inter, n_x, n_y):
     return 9 * inter >= 4 * (n_x + n_y)
 
 
-def shingle_meta(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n, fp1, fp2)`` of every row: set size and fingerprint."""
+def prefix_size(n):
+    """Two fifths of a set, rounded up."""
+    return (2 * n + 4) // 5
+
+
+def need(n: Column) -> Column:
+    """Hashes of the prefix of a set of ``n`` that the prefix of any linked set has too: a fifth, rounded up.
+
+    Linked sets of n and m share 4/9 (n + m) or more. Of the hashes below which both prefixes lie, at most
+    3/5 max(n, m) are above, so 4/9 (n + m) - 3/5 max(n, m) are shared below; m is between 4/5 n and 5/4 n.
+    """
+    return F.ceil(n / 5).cast("int")
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+
+
+def shingle_meta(rows: DataFrame) -> DataFrame:
+    """``(doc_id, text_hash, n, class)`` of every row: set size and the number of its class, null without words."""
 
     def meta(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            out = [(len(s), *fingerprint(s)) for s in map(shingle_set, b.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[k] for r in out], type=pa.int64()) for k in range(3))], names=["doc_id", "n", "fp1", "fp2"])
+            out = [(len(s), class_number(s) if len(s) else None) for s in (shingle_set(t.as_py()) for t in b.column(2))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([r[k] for r in out], type=pa.int64()) for k in range(2))], names=["doc_id", "text_hash", "n", "class"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(meta, "doc_id long, n long, fp1 long, fp2 long")
+    return rows.mapInArrow(meta, "doc_id long, text_hash long, n long, class long")
 
 
 def _runs(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,267 +94,229 @@ def _runs(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.append(starts, len(sorted_)))
 
 
-def _deal(docs: np.ndarray, sets: list[np.ndarray], buckets: int, turn: int) -> Iterator[tuple]:
-    """Rows (bucket, shingles, document places, ids, sizes, marks) for some documents."""
-    sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    toks, place = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+def _merged(classes: dict[int, tuple[int, np.ndarray]], own: int) -> Iterator[pa.RecordBatch]:
+    """Rows (tok, class, n, own) of the prefixes of some classes.
+
+    A hash of one class is to meet its like (``own`` 0). One of several classes is known to be shared: it
+    goes to the others as a row without class, and its classes have rows of their own that needn't meet.
+    """
+    sizes = np.array([len(p) for _, p in classes.values()])
+    toks, at = np.concatenate([p for _, p in classes.values()]).view(np.int64), np.repeat(np.arange(len(sizes)), sizes)
     order = np.argsort(toks, kind="stable")
-    toks, place = toks[order], place[order]
+    toks, at = toks[order], at[order]
     starts, lens = _runs(toks)
-    single = np.repeat(lens == 1, lens)
+    several = np.repeat(lens > 1, lens)
     marks = toks[starts[lens > 1]]
-    bucket = lambda t: ((t >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-
-    def row(b: int, t: np.ndarray, p: np.ndarray, m: np.ndarray) -> tuple:
-        own, at = np.unique(p, return_inverse=True)
-        return b, t.tobytes(), at.astype(np.uint16).tobytes(), docs[own].tobytes(), sizes[own].astype(np.int32).tobytes(), m.tobytes()
-
-    own, own_place = toks[single], place[single]
-    edges, mark_edges = np.searchsorted(bucket(own), np.arange(buckets + 1)), np.searchsorted(bucket(marks), np.arange(buckets + 1))
-    for b in range(buckets):
-        t, m = slice(edges[b], edges[b + 1]), slice(mark_edges[b], mark_edges[b + 1])
-        if t.start < t.stop or m.start < m.stop:
-            yield row(b, own[t], own_place[t], marks[m])
-    if not single.all():  # shared within the task already: passed on as they are
-        yield row(-1 - turn % buckets, toks[~single], place[~single], marks[:0])
-
+    number, n = np.array(list(classes), np.int64), np.array([n for n, _ in classes.values()], np.int64)
+    for t, c, o in [(toks[~several], at[~several], 0), (marks, None, 0), (toks[several], at[several], own)]:
+        for k in range(0, len(t), SENT_ROWS):
+            part, some = t[k : k + SENT_ROWS], None if c is None else c[k : k + SENT_ROWS]
+            whose = pa.nulls(len(part), pa.int64()) if some is None else pa.array(number[some])
+            size = np.zeros(len(part), np.int64) if some is None else n[some]
+            yield pa.RecordBatch.from_arrays([pa.array(part), whose, pa.array(size), pa.array(np.full(len(part), o))], names=["tok", "class", "n", "own"])
 
-def _by_document(toks: np.ndarray, docs: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(id, size, sorted shingles) of each document whose shingles are shared to 80 % at least."""
-    order = np.lexsort((toks, docs))
-    toks, docs, sizes = toks[order], docs[order], sizes[order]
-    starts, lens = _runs(docs)
-    for i in np.nonzero(10 * lens >= 8 * sizes[starts])[0]:
-        yield int(docs[starts[i]]), int(sizes[starts[i]]), toks[starts[i] : starts[i] + lens[i]].astype(np.int64)
 
+def shared_prefixes(rows: DataFrame) -> DataFrame:
+    """``(class, n, toks)``: classes of ``rows`` with ``need(n)`` hashes of their prefix in those of others, and these hashes.
 
-def shared_shingles(docs: DataFrame, total: int) -> DataFrame:
-    """``(doc_id, n, toks)``: the shingles that another document has too, for the documents of ``docs(doc_id, text)`` with 80 % of these.
-
-    Shingles go to buckets by hash, to meet their like, and the shared ones to buckets of documents; both
-    ways they travel packed, a row for each pair of buckets.
-
-    ``total`` is the number of all shingles, from which the number of buckets follows. What a task deals
-    out depends on the order of its rows, so they must come from files or sorted by id, as a join's do;
-    then a task that is run again deals the same.
+    What a task merges depends on the order of its rows, so they must come from files or sorted; then a
+    task that is run again sends the same.
     """
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_SHINGLES))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, sets, held, turn = [], [], 0, count(TaskContext.get().partitionId())
-
-        def flush() -> pa.RecordBatch:
-            rows = list(_deal(np.array(ids, np.int64), sets, buckets, next(turn)))
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 6))], names=PACKED)
-
+        held, shingles, turn = {}, 0, 0
+        first = (TaskContext.get().partitionId() << 32) + 1
         for b in slices(batches):
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for text in b.column(0):
                 s = shingle_set(text.as_py())
-                if len(s):
-                    ids.append(doc)
-                    sets.append(s)
-                    held += len(s)
-                if held >= LOCAL_SHINGLES or len(ids) >= LOCAL_DOCS:
-                    yield flush()
-                    ids, sets, held = [], [], 0
-        if ids:
-            yield flush()
-
-    def unpack(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        read = lambda k, kind: [np.frombuffer(r[k], kind) for r in rows]
-        places = read("place", np.uint16)
-        docs = np.concatenate([d[p] for d, p in zip(read("docs", np.int64), places, strict=True)])
-        sizes = np.concatenate([d[p] for d, p in zip(read("sizes", np.int32), places, strict=True)])
-        return np.concatenate(read("toks", np.uint64)), docs, sizes
-
-    def meet(rows: list[dict], b: int) -> Iterator[pa.RecordBatch]:
-        toks, docs, sizes = unpack(rows)
-        if b >= 0:
-            marks = np.unique(np.concatenate([np.frombuffer(r["marks"], np.uint64) for r in rows]))
-            order = np.argsort(toks, kind="stable")
-            toks, docs, sizes = toks[order], docs[order], sizes[order]
-            starts, lens = _runs(toks)
-            at = np.searchsorted(marks, toks[starts])
-            marked = (marks[np.minimum(at, len(marks) - 1)] == toks[starts]) if len(marks) else np.zeros(len(starts), bool)
-            keep = np.repeat((lens > 1) | marked, lens)
-            toks, docs, sizes = toks[keep], docs[keep], sizes[keep]
-        to = (mix(docs.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(to, kind="stable")
-        toks, docs, sizes, to = toks[order], docs[order], sizes[order], to[order]
-        edges = np.searchsorted(to, np.arange(buckets + 1))
-        out = []
-        for k in range(buckets):
-            ids, first, place = np.unique(docs[edges[k] : edges[k + 1]], return_index=True, return_inverse=True)
-            for at in range(0, len(ids), LOCAL_DOCS):  # places have 16 bits
-                some = (place >= at) & (place < at + LOCAL_DOCS)
-                part = slice(at, at + LOCAL_DOCS)
-                out.append((k, toks[edges[k] : edges[k + 1]][some].tobytes(), (place[some] - at).astype(np.uint16).tobytes(), ids[part].tobytes(), sizes[edges[k] : edges[k + 1]][first[part]].astype(np.int32).tobytes(), b""))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), *(pa.array([r[k] for r in out], pa.binary()) for k in range(1, 6))], names=PACKED)
-
-    def assemble(rows: list[dict], b: int) -> Iterator[pa.RecordBatch]:
-        got = list(_by_document(*unpack(rows)))
-        if got:
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in got], pa.int64()), pa.array([r[1] for r in got], pa.int64()), pa.array([r[2] for r in got], pa.list_(pa.int64()))], names=["doc_id", "n", "toks"])
-
-    def by_bucket(work):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rows, at = [], None
-            for batch in batches:
-                for k in range(batch.num_rows):  # row by row, as a batch may hold several buckets
-                    r = batch.slice(k, 1).to_pylist()[0]
-                    if rows and (r["bucket"] != at or at < 0):
-                        yield from work(rows, at)
-                        rows = []
-                    at = r["bucket"]
-                    rows.append(r)
-            if rows:
-                yield from work(rows, at)
-
-        return run
-
-    schema = "bucket long, toks binary, place binary, docs binary, sizes binary, marks binary"
-    placed = lambda df: df.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    dealt = docs.select("doc_id", "text").mapInArrow(deal, schema)
-    met = placed(dealt).mapInArrow(by_bucket(meet), schema)
-    return placed(met).mapInArrow(by_bucket(assemble), SHARED)
-
-
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The links among ``pairs(a, b)``."""
-    x = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("toks").alias("t_a"))
-    y = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("toks").alias("t_b"))
-    both = pairs.join(x, "a").join(y, "b")
-    return both.filter(linked(F.size(F.array_intersect("t_a", "t_b")), F.col("n_a"), F.col("n_b"))).select("a", "b")
-
-
-def star_links(sets: DataFrame) -> DataFrame:
-    """Links of documents with their leaders; at most two for each document."""
+                if len(s) and (number := class_number(s)) not in held:
+                    held[number] = len(s), s[: prefix_size(len(s))].copy()
+                    shingles += len(held[number][1])
+                if shingles >= LOCAL_SHINGLES or len(held) >= LOCAL_CLASSES:
+                    yield from _merged(held, first + turn)
+                    held, shingles, turn = {}, 0, turn + 1
+        if held:
+            yield from _merged(held, first + turn)
+
+    dealt = rows.select("text").mapInArrow(deal, "tok long, class long, n long, own long")
+    like = W.partitionBy("tok", "own")
+    met = dealt.select("*", F.min("class").over(like).alias("lo"), F.max("class").over(like).alias("hi"), F.count("class").over(like).alias("known"), F.count("*").over(like).alias("rows"))
+    shared = met.filter(F.col("class").isNotNull() & ((F.col("own") > 0) | (F.col("lo") < F.col("hi")) | (F.col("known") < F.col("rows"))))
+    return shared.groupBy("class", "n").agg(F.collect_set("tok").alias("toks")).filter(F.size("toks") >= need(F.col("n")))
+
+
+def search_plan(prefixes: DataFrame) -> DataFrame:
+    """``(class, n, home, band, lead)``: each class's cell, and the hashes that lead to and from it, from ``shared_prefixes``."""
+    rows = prefixes.select("class", "n", F.explode("toks").alias("tok"))
+    often = rows.groupBy("tok").agg(F.count("*").alias("often")).filter("often > 1")
+    ranked = rows.join(often, "tok").groupBy("class", "n").agg(F.array_sort(F.collect_list(F.struct("often", "tok"))).alias("toks"))
+    known = ranked.filter(F.size("toks") >= need(F.col("n")))
+    lead = F.transform(F.slice("toks", F.lit(1), F.size("toks") - need(F.col("n")) + 1), lambda t: t["tok"])
+    home = F.array_min(F.transform("toks", lambda t: t["tok"]))
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(BAND))).cast("int")
-    unshared = F.floor(1000 * (F.col("n") - F.size("toks")) / F.col("n"))
-    rows = sets.select("doc_id", band.alias("band"), unshared.alias("u"), F.explode(F.slice("toks", 1, LEADER_SHINGLES)).alias("tok"))
-    leaders = rows.groupBy("tok", "band").agg(F.min(F.struct("u", "doc_id"))["doc_id"].alias("leader"))
-    both = leaders.select("tok", "band", "leader", F.lit(0).alias("kind")).union(leaders.select("tok", F.col("band") + 1, "leader", F.lit(1)))
-    votes = rows.select("doc_id", "band", "tok").join(both, ["tok", "band"]).filter("doc_id <> leader").groupBy("doc_id", "kind", "leader").agg(F.count("*").alias("votes"))
-    best = votes.groupBy("doc_id", "kind").agg(F.max(F.struct("votes", (-F.col("leader")).alias("l")))["l"].alias("l"))
-    pairs = best.select(F.col("doc_id").alias("a"), (-F.col("l")).alias("b")).distinct()
-    return _verified(pairs, sets)
-
-
-def open_sets(sets: DataFrame) -> DataFrame:
-    """``sets(doc_id, n, comp, toks)`` cut to shingles under two components, without documents that have too few."""
-    rows = sets.select("doc_id", "n", "comp", F.explode("toks").alias("tok"))
-    open_ = rows.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("tok")
-    open_ = materialize(open_, "open-shingles")
-    kept = rows.join(small(open_), "tok", "left_semi")
-    again = kept.groupBy("doc_id", "n", "comp").agg(F.collect_list("tok").alias("toks"))
-    return materialize(again.filter(10 * F.size("toks") >= 8 * F.col("n")), "open-sets")
-
-
-class _Union:
-    def __init__(self) -> None:
-        self.up: dict[int, int] = {}
-
-    def find(self, x: int) -> int:
-        while self.up.get(x, x) != x:
-            self.up[x] = x = self.up.get(self.up[x], self.up[x])
-        return x
-
-    def join(self, x: int, y: int) -> bool:
-        x, y = self.find(x), self.find(y)
-        self.up[max(x, y)] = min(x, y)
-        return x != y
-
-
-def search_blocks(ids: list[int], sizes: list[int], comps: list[int], sets: list[np.ndarray], first: list[bool], second: list[bool]) -> list[tuple[int, int]]:
-    """Links between documents of the ``first`` and of the ``second`` block that join components; ``sets`` may lack unshared shingles.
-
-    The largest component does not ask: its links within are not needed, and those to others are found
-    by the others. Lists are in order of set size, so the sizes that a partner can have bound them: with
-    o shingles left to share and an overlap of 4/9 (n + m) or more, m lies between 0.8 n and 9/4 o - n.
-    """
-    if not ids:
-        return []
-    union, out = _Union(), []
-    order = sorted(range(len(ids)), key=lambda i: (sizes[i], ids[i]))
-    largest = Counter(comps).most_common(1)[0][0]
-    for asks, holds in [(first, second)] if first == second else [(first, second), (second, first)]:
-        indexed = [i for i in order if holds[i]]
-        at_size = [sizes[i] for i in indexed]
-        lists: dict[int, list[int]] = {}
-        for place, i in enumerate(indexed):
-            for t in sets[i].tolist():
-                lists.setdefault(t, []).append(place)
-        for i in order:
-            if not asks[i] or comps[i] == largest:
-                continue
-            whole = [x for t in sets[i].tolist() if (x := lists.get(t))]
-            lo, hi = bisect_left(at_size, -(-4 * sizes[i] // 5)), bisect_right(at_size, 9 * len(whole) // 4 - sizes[i])
-            own = [x for y in whole if (x := y[bisect_left(y, lo) : bisect_left(y, hi)])]
-            for place, inter in divide_skip(own, -(-4 * sizes[i] // 5)):
-                j = indexed[place]
-                if j != i and union.find(comps[i]) != union.find(comps[j]) and linked(inter, sizes[i], sizes[j]):
-                    union.join(comps[i], comps[j])
-                    out.append((ids[i], ids[j]))
-    return out
-
-
-def block_links(sets: DataFrame) -> DataFrame:
-    """Links among ``sets(doc_id, n, comp, toks)`` that join components, by DivideSkip on pairs of blocks."""
-    rows = sets.select("doc_id", F.explode("toks").alias("tok"))
-    least = rows.groupBy("tok").agg(F.min("doc_id").alias("b"))
-    groups = components(rows.join(least, "tok").select(F.col("doc_id").alias("a"), "b").distinct())
-    grouped = sets.join(groups, F.col("doc_id") == F.col("node")).select("doc_id", "n", "comp", "toks", F.col("component").alias("g"))
-    grouped = materialize(grouped, "grouped-sets")
-    blocks = grouped.groupBy("g").agg(F.ceil(F.count("*") / BLOCK_DOCS).cast("int").alias("blocks"))
-    placed = grouped.join(blocks, "g").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("*", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-
-    def search(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        _, i, j = key
-        own = rows["own"].tolist()
-        found = search_blocks(rows["doc_id"].tolist(), rows["n"].tolist(), rows["comp"].tolist(), list(rows["toks"]), [o == i for o in own], [o == j for o in own])
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    # rows may lie by group already, which would do for the grouping but leave a group's blocks in one task
-    return cells.repartition("g", "i", "j").groupBy("g", "i", "j").applyInPandas(search, "a long, b long")
+    return known.select("class", "n", home.alias("home"), band.alias("band"), lead.alias("lead"))
+
+
+def routes(plan: DataFrame) -> DataFrame:
+    """``(class, n, home, band)``: the cells that each class has to search."""
+    lead = plan.select("class", "n", "home", "band", F.explode("lead").alias("tok"))
+    cells = lead.groupBy("tok", "band", "home").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"))
+    asks = lead.select("class", "n", "tok", F.explode(F.array("band", F.col("band") + 1)).alias("band"))
+    found = asks.join(cells, ["tok", "band"]).filter((F.col("most") >= F.col("n")) & (4 * F.col("least") <= 5 * F.col("n")) & ((F.col("lo") != F.col("class")) | (F.col("hi") != F.col("class"))))
+    return found.select("class", "n", "home", "band").distinct()
+
+
+def visits(plan: DataFrame, asked: DataFrame) -> DataFrame:
+    """``(class, home, band, block, portion, asks)``: what each task of the search holds (asks False) and searches it for (True)."""
+    parts = lambda shingles, classes: F.ceil(F.greatest(F.sum("n") / shingles, F.count("*") / classes)).cast("int")
+    held = plan.groupBy(CELL).agg(parts(BLOCK_SHINGLES, BLOCK_CLASSES).alias("blocks"))
+    cells = held.join(asked.groupBy(CELL).agg(parts(PORTION_SHINGLES, PORTION_CLASSES).alias("portions")), CELL)
+    cells = small(materialize(cells, "cells"))
+    own = lambda n: F.pmod(F.xxhash64("class"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    holds = plan.join(cells, CELL).select("class", *CELL, own(F.col("blocks")).alias("block"), every("portions").alias("portion"), F.lit(False).alias("asks"))
+    asks = asked.join(cells, CELL).select("class", *CELL, every("blocks").alias("block"), own(F.col("portions")).alias("portion"), F.lit(True).alias("asks"))
+    return holds.union(asks)
+
+
+class Block:
+    """Inverted lists of some classes, in order of their size."""
+
+    def __init__(self, classes: list[int], sizes: list[int], weights: list[int], sets: list[np.ndarray]):
+        order = sorted(range(len(classes)), key=lambda i: (sizes[i], classes[i]))
+        self.classes, self.sizes = np.array(classes, np.int64)[order], np.array(sizes, np.int64)[order]
+        self.weights, self.n_links = np.array(weights, np.int64)[order], np.zeros(len(order), np.int64)
+        self.label = np.arange(len(order))  # of what is connected so far
+        toks, places = np.concatenate([sets[i] for i in order]), np.repeat(np.arange(len(order)), [len(sets[i]) for i in order])
+        by_tok = np.argsort(toks, kind="stable")
+        toks, self.places = toks[by_tok], places[by_tok]
+        starts, lens = _runs(toks)
+        self.toks = toks[starts]
+        self.keys = np.repeat(np.arange(len(starts)), lens) * len(order) + self.places  # (list, place) in order
+
+    def search(self, number: int, n: int, toks: np.ndarray) -> np.ndarray:
+        """Places of the classes linked with a class that come after it by (size, number)."""
+        lo = int(np.searchsorted(self.sizes, n))
+        while lo < len(self.sizes) and self.sizes[lo] == n and self.classes[lo] <= number:
+            lo += 1
+        hi = int(np.searchsorted(self.sizes, 5 * n // 4, side="right"))
+        if lo >= hi:
+            return np.zeros(0, np.int64)
+        least = -(-4 * (n + int(self.sizes[lo])) // 9)
+        at = np.searchsorted(self.toks, toks)
+        at = at[self.toks[np.minimum(at, len(self.toks) - 1)] == toks]
+        if len(at) < least:
+            return np.zeros(0, np.int64)
+        starts, ends = np.searchsorted(self.keys, at * len(self.sizes) + lo), np.searchsorted(self.keys, at * len(self.sizes) + hi)
+        lists = [self.places[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True) if a < b]
+        places, inter = divide_skip(lists, least)
+        return places[linked(inter, n, self.sizes[places])]
+
+    def ask(self, number: int, n: int, weight: int, toks: np.ndarray) -> tuple[int, np.ndarray]:
+        """How many rows of the block link with the class, and one class of each part that it connects."""
+        places = self.search(number, n, toks)
+        if not len(places):
+            return 0, places
+        self.n_links[places] += weight
+        parts, first = np.unique(self.label[places], return_index=True)
+        if len(parts) > 1:
+            self.label[np.isin(self.label, parts)] = parts[0]
+        return int(self.weights[places].sum()), self.classes[places[first]]
+
+
+def block_links(rows: DataFrame) -> DataFrame:
+    """``(a, b, n_links)`` from ``visits`` with their sets: links (a, b) that connect, and numbers of links of a, to be added up."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held, block = None, [], None
+
+        def batch_of(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(3)], names=["a", "b", "n_links"])
+
+        def sums() -> Iterator[pa.RecordBatch]:
+            if block is not None and block.n_links.any():
+                some = block.n_links > 0
+                yield batch_of([(c, None, n) for c, n in zip(block.classes[some].tolist(), block.n_links[some].tolist(), strict=True)])
+
+        for b in slices(batches):
+            keys = list(zip(*(b.column(k).to_pylist() for k in range(4)), strict=True))
+            asks, number, n, weight = (b.column(k).to_pylist() for k in range(4, 8))
+            lists = b.column(8)
+            at, flat, out = lists.offsets.to_numpy(), lists.values.to_numpy(), []
+            for i, key in enumerate(keys):
+                if key != cell:
+                    yield from sums()
+                    cell, held, block = key, [], None
+                toks = flat[at[i] : at[i + 1]]
+                if not asks[i]:
+                    held.append((number[i], n[i], weight[i], toks.copy()))
+                elif held or block is not None:
+                    if block is None:
+                        block, held = Block(*map(list, zip(*held, strict=True))), []
+                    links, with_ = block.ask(number[i], n[i], weight[i], toks)
+                    if links:
+                        out.append((number[i], None, links))
+                        out += [(number[i], c, None) for c in with_.tolist()]
+            if out:
+                yield batch_of(out)
+        yield from sums()
+
+    key = [*CELL, "block", "portion"]
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = rows.select(*key, "asks", "class", "n", "weight", "toks").repartition(parts, *key).sortWithinPartitions(*key, "asks")
+    return placed.mapInArrow(search, FOUND)
+
+
+def whole_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(class, n, weight, toks)`` of the classes of ``wanted(doc_id, text_hash, weight)``, which has a row for each."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            for text, weight in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                s = shingle_set(text.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array([class_number(s)]), pa.array([len(s)]), pa.array([weight]), pa.ListArray.from_arrays(pa.array([0, len(s)], pa.int32()), pa.array(np.sort(s.view(np.int64))))], names=["class", "n", "weight", "toks"])
+
+    keys = small(wanted.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "weight"))
+    own = rows.join(keys, rows["doc_id"].eqNullSafe(keys["id"]) & (F.col("text_hash") == F.col("hash")))
+    return own.select("text", "weight").mapInArrow(sets, "class long, n long, weight long, toks array<long>").dropDuplicates(["class"])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """``(doc_id, n_shingles, class_id, component_id)`` of every row, and ``links(a, b)`` between class ids."""
-    meta = materialize(shingle_meta(docs, id_col, text_col), "shingle-meta")
-    known = meta.filter("n > 0 and doc_id is not null")
-    classes = known.groupBy("n", "fp1", "fp2").agg(F.count("*").alias("rows"), F.min("doc_id").alias("rep")).filter("rows > 1").drop("rows")
-    classes = materialize(classes, "shingle-classes")
-    n_classes = classes.count()
-    joined = meta.join(small(classes, n_classes), ["n", "fp1", "fp2"], "left")
-    copies = materialize(joined.filter("rep <> doc_id").select("doc_id").distinct(), "copies")
-    total = known.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null")
-    sets = materialize(shared_shingles(rows.join(small(copies), "doc_id", "left_anti"), total), "shingle-sets")
-    stars = materialize(star_links(sets), "star-links")
-    comps = components(stars)
-    left = sets.join(comps, sets["doc_id"] == comps["node"], "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("comp"), "toks")
-    left, before = open_sets(left), -1
-    for _ in range(OPEN_ROUNDS):
-        rest = left.count()
-        if rest in (0, before):
-            break
-        left, before = open_sets(left), rest
-    links = stars
-    if left.count():
-        links = links.union(materialize(block_links(left), "block-links"))
-        comps = components(links)
-    comps = materialize(comps, "components")
-    out = joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("class_id"))
-    out = out.join(small(comps), F.col("class_id") == F.col("node"), "left")
-    return out.select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id")), links
+    """``(doc_id, text_hash, n_shingles, class_id, component_id, n_links, group)`` of every row, and ``links(a, b)`` between class ids.
+
+    ``text_hash`` is Spark's xxhash64 of the text; ``group`` is the component's number, also for rows without an id.
+    """
+    rows = _rows(docs, id_col, text_col)
+    meta = materialize(shingle_meta(rows), "shingle-meta")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
+    classes = meta.filter("n > 0").groupBy("class").agg(first.alias("first"), F.count("*").alias("weight"))
+    classes = materialize(classes.select("class", "first.doc_id", "first.text_hash", "weight"), "shingle-classes")
+    plan = materialize(search_plan(materialize(shared_prefixes(rows), "shared-prefixes")), "search-plan")
+    asked = materialize(routes(plan), "search-routes")
+    visited = materialize(visits(plan, asked), "search-visits")
+    wanted = classes.join(visited.select("class").distinct(), "class", "left_semi")
+    sets = materialize(whole_sets(rows, materialize(wanted, "searched-classes")), "shingle-sets")
+    found = materialize(block_links(visited.join(sets, "class")), "block-links")
+    edges = found.filter("b is not null").select("a", "b")
+    nodes = materialize(components(edges), "components")
+    n_links = found.filter("b is null").groupBy("a").agg(F.sum("n_links").alias("near"))
+    info = classes.join(nodes.withColumnRenamed("node", "class"), "class", "left").join(n_links.withColumnRenamed("a", "class"), "class", "left")
+    info = info.filter("weight > 1 or component is not null").select("class", F.col("doc_id").alias("rep"), (F.col("weight") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"), F.coalesce("component", "class").alias("group"))
+    info = materialize(info, "class-info")
+    names = materialize(info.groupBy("group").agg(F.min("rep").alias("name")), "component-names")
+    info = materialize(info.join(small(names), "group"), "class-names")
+    out = meta.join(small(info), "class", "left").select(
+        "doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("name").isNotNull(), F.col("rep")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("name", "doc_id").alias("component_id"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("group", "class").alias("group"),
+    )
+    ids = info.select(F.col("class"), "rep")
+    links = edges.join(ids.select(F.col("class").alias("a"), F.col("rep").alias("x")), "a").join(ids.select(F.col("class").alias("b"), F.col("rep").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return out, links
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, _ = near_duplicates(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_shingles", "component_id")
+    return out.select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
 
 
 OP2_SQL = r"""
@@ -349,8 +326,13 @@ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
 d AS (SELECT s FROM s GROUP BY 1 HAVING count(*) > 1),
 c AS (SELECT doc_id, s FROM s WHERE s IN (SELECT s FROM d)),
 p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM c x JOIN c y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2),
-e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 80 * (x.n + y.n - o)),
+q AS (SELECT a, b, x.n AS n, o, y.n AS m FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 80 * (x.n + y.n - o)),
+e AS (SELECT a, b FROM q),
+k AS (SELECT a AS v, min(b) AS class_id FROM q WHERE n = o AND m = o GROUP BY 1),
+l AS (SELECT a AS v, count(*) AS n_links FROM e GROUP BY 1),
 r AS (SELECT doc_id AS v, doc_id AS root FROM n UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.v)
-SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(m.c, w.doc_id) AS component_id
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(m.c, w.doc_id) AS component_id,
+  least(w.doc_id, coalesce(k.class_id, w.doc_id)) AS class_id, CAST(coalesce(l.n_links, 0) AS BIGINT) AS n_links
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN (SELECT v, min(root) AS c FROM r GROUP BY 1) m ON m.v = w.doc_id
+LEFT JOIN k ON k.v = w.doc_id LEFT JOIN l ON l.v = w.doc_id
 """

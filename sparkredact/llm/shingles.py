@@ -76,7 +76,8 @@ def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(h)
 
 
-def fingerprint(s: np.ndarray) -> tuple[int, int]:
-    """Two signed 64-bit numbers that stand for a set."""
-    a, b = np.add.reduce(mix(s), dtype=np.uint64), np.bitwise_xor.reduce(mix(s ^ _M3)) if len(s) else np.uint64(0)
-    return int(np.array(a, np.uint64).astype(np.int64)), int(np.array(b, np.uint64).astype(np.int64))
+def class_number(s: np.ndarray) -> int:
+    """A signed 64-bit number that stands for a set."""
+    a, b = np.add.reduce(mix(s), dtype=np.uint64), np.bitwise_xor.reduce(mix(s ^ _M3))
+    both = mix(np.array([a], np.uint64) * _M2 ^ mix(np.array([b + np.uint64(len(s))], np.uint64)))
+    return int(both.view(np.int64)[0])
