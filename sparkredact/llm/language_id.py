@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import slices, table
+from .common import slices, small, table
 from .features import ngram_counts
 
 BITS = 14
@@ -131,13 +131,20 @@ def inverse_frequencies(texts: DataFrame) -> np.ndarray:
 
 
 def training_rows(rows: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
-    """At most ``most`` of ``rows(doc_id, text, lang)``, as many of each language as there are or as its share."""
-    langs = rows.groupBy("lang").agg(F.count("*").alias("n")).count()
-    by = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    cut = rows.select("lang", "doc_id").withColumn("k", F.row_number().over(by)).filter(F.col("k") <= max(1, most // max(1, langs)))
-    last = cut.groupBy("lang").agg(F.max(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id")).alias("last"))
-    # a row for each language; ids that repeat can add rows, which the limit takes back
-    return rows.join(F.broadcast(last), "lang").filter(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id") <= F.col("last")).drop("last").limit(most)
+    """At most ``most`` of ``rows(doc_id, text, lang)``, as many of each language as there are or as its share.
+
+    Those with the smallest hash of their id. A bound on the hash that twice as many rows keep comes
+    first, so that what is put in order is as little for a very frequent language as for others.
+    """
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    langs = counts.count()
+    share = max(1, most // max(1, langs))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 52)) / float(1 << 52)
+    near = rows.select("lang", "doc_id", place.alias("place")).join(small(counts, langs), "lang").filter(F.col("place") * F.col("n") < 2 * share + 50)
+    cut = near.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("place", "doc_id"))).filter(F.col("k") <= share)
+    last = cut.groupBy("lang").agg(F.max("place").alias("last"))
+    # ids that repeat can add rows, which the limit takes back
+    return rows.join(small(last, langs), "lang").filter(place <= F.col("last")).drop("last").limit(most)
 
 
 def train(rows: DataFrame, most: int = TRAIN_ROWS) -> LanguageModel:
@@ -166,19 +173,18 @@ def train(rows: DataFrame, most: int = TRAIN_ROWS) -> LanguageModel:
 
 
 def identify(docs: DataFrame, model: LanguageModel, keep: list[str], text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
-    """Columns ``keep`` of ``docs`` with the predicted language and its score."""
+    """Columns ``keep`` of ``docs`` with the predicted language and its score. Workers get the text only and send these two."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.select(*keep).schema.add(pred_col, "string").add(score_col, "double")
-    names = [*keep, pred_col, score_col]
-    own = text_col in keep and dict(docs.dtypes)[text_col] == "string"  # then the text travels once
-    at = keep.index(text_col) if own else len(keep)
 
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            out = [sent.value.predict(t) for t in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array([x for x, _ in out], type=pa.string()), pa.array([p for _, p in out], type=pa.float64())], names=names)
+    @F.arrow_udf("struct<pred string, score double>")
+    def predict(texts: pa.Array) -> pa.Array:
+        out = [sent.value.predict(t.as_py()) for t in texts]
+        return pa.StructArray.from_arrays([pa.array([x for x, _ in out], type=pa.string()), pa.array([p for _, p in out], type=pa.float64())], names=["pred", "score"])
 
-    return docs.select(*keep, *([] if own else [docs[text_col].cast("string").alias("__text")])).mapInArrow(predict, schema)
+    # a name that no column of ``docs`` has
+    found = "found" + "_" * max(map(len, docs.columns))
+    scored = docs.select(*[docs[c] for c in keep], predict(docs[text_col].cast("string")).alias(found))
+    return scored.select(*[scored[c] for c in keep], scored[found]["pred"].alias(pred_col), scored[found]["score"].alias(score_col))
 
 
 def train_on_folds(docs: DataFrame, held: int = 1, folds: int = 3) -> LanguageModel:
