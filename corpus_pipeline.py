@@ -27,17 +27,27 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id.
+    """One document of each group of near duplicates: the smallest id, of equal ids one text, of repeated rows one.
 
-    Texts without words and rows without an id stay; of rows with equal ids one stays.
+    Texts without words stay. An id that is null comes after all others. An empty table stays empty.
     """
     found, _ = ngram_join.near_duplicates(docs)
-    found = materialize(found.select("doc_id", "component_id"), "found")
-    gone = materialize(found.filter("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    kept = docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
-    if found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return kept
-    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.filter("doc_id is null"))
+    found = materialize(found.filter("n_shingles > 0").select("group", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash").alias("row")), "found")
+    many = found.groupBy("group").agg(F.min("row").alias("first"), F.count("*").alias("rows")).filter("rows > 1")
+    many = materialize(many, "groups")
+    members = found.join(small(many), "group")
+    gone = materialize(members.filter("row <> first").select("row.*").distinct(), "gone").withColumnsRenamed({"doc_id": "gone_id", "text_hash": "gone_hash"})
+    same = members.filter("row = first").groupBy("row").agg(F.count("*").alias("rows")).filter("rows > 1")
+    same = materialize(same.select("row.*"), "repeated").withColumnsRenamed({"doc_id": "same_id", "text_hash": "same_hash"})
+    # names of its own, as documents may have columns of the usual ones
+    key = docs.withColumn("__hash", F.xxhash64(F.col("text").cast("string")))
+    kept = key.join(small(gone.select("gone_id", "gone_hash")), key["doc_id"].eqNullSafe(F.col("gone_id")) & (F.col("__hash") == F.col("gone_hash")), "left_anti")
+    if same.isEmpty():
+        return kept.select(*docs.columns)
+    repeats = kept["doc_id"].eqNullSafe(F.col("same_id")) & (F.col("__hash") == F.col("same_hash"))
+    same = small(same.select("same_id", "same_hash"))
+    once = kept.join(same, repeats, "left_semi").dropDuplicates(["doc_id", "__hash"])
+    return kept.join(same, repeats, "left_anti").union(once).select(*docs.columns)
 
 
 def _sized(docs: DataFrame) -> DataFrame:
