@@ -119,27 +119,26 @@ def test_shingles_by_segment(monkeypatch):
 
 
 def test_mixing(spark, docs):
-    mixed = mixing.mix(docs, shard_words=200)
-    assert mixed.columns[:5] == docs.columns
-    rows = mixed.collect()
+    rows = mixing.mix_plan(docs, shard_words=200).collect()
     assert len(rows) == len(TEXTS)
-    size = {s: sum(r.mix_size for r in rows if r.source == s) for s in ("a", "b", "c", None)}
+    source = {i: [None, "a", "b", "c"][i % 4] for i in range(len(TEXTS))}
+    size = {s: sum(r["size"] for r in rows if source[r.doc_id] == s) for s in ("a", "b", "c", None)}
     for s in size:
-        own = [r for r in rows if r.source == s]
-        assert all(r.mix_taken <= 3 * r.mix_size and r.mix_taken == sum(d["words"] for d in r.mix_draws) for r in own)
-        assert abs(sum(r.mix_taken for r in own) - own[0].mix_target) <= 0.5 and own[0].mix_target <= 3 * size[s]
-    assert sum({r.source: r.mix_target for r in rows}.values()) == pytest.approx(sum(size.values()))
-    again = {r.doc_id: r.mix_draws for r in mixing.mix(docs.repartition(3), shard_words=200).collect()}
-    assert again == {r.doc_id: r.mix_draws for r in rows}
-    assert mixing.mix(docs.limit(0)).count() == 0
+        own = [r for r in rows if source[r.doc_id] == s]
+        assert all(r.taken <= 3 * r["size"] and r.taken == sum(d["words"] for d in r.draws) for r in own)
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 0.5 and own[0].target <= 3 * size[s]
+    assert sum({source[r.doc_id]: r.target for r in rows}.values()) == pytest.approx(sum(size.values()))
+    again = {r.doc_id: r.draws for r in mixing.mix_plan(docs.repartition(3), shard_words=200).collect()}
+    assert again == {r.doc_id: r.draws for r in rows}
+    assert mixing.mix_plan(docs.limit(0)).count() == 0
 
 
 def test_splitting_tree(spark):
     quotas = spark.createDataFrame([(1, 37), (2, 5), (3, 22)], "rank int, blocks long")
-    ends = {r["rank"]: r.ends for r in mixing.shard_quotas(quotas, 3).collect()}
-    assert {k: e[-1] for k, e in ends.items()} == {1: 37, 2: 5, 3: 22}
-    totals = np.diff([0, *np.sum(list(ends.values()), axis=0)])
-    assert totals.max() - totals.min() <= 1
+    cells = mixing.shard_quotas(quotas, 3).collect()
+    assert {k: sum(c.blocks for c in cells if c["rank"] == k) for k in (1, 2, 3)} == {1: 37, 2: 5, 3: 22}
+    totals = [sum(c.blocks for c in cells if c.shard == k) for k in range(8)]
+    assert max(totals) - min(totals) <= 1
 
 
 @pytest.fixture(scope="module")
