@@ -1,16 +1,16 @@
-"""Best-fit packing into sequences of bounded length, longest first within a task.
+"""Best-fit packing into sequences of bounded length, online and with a fixed number of open bins.
 
 Documents longer than a sequence are cut so that all pieces but the first are full; full pieces are
-sequences of their own. The others are packed by best fit: each goes to the open bin with the least
-free space that holds it. Open bins are kept by free space, and a bitset says which free spaces occur,
-so the best bin is the lowest set bit at or above the piece's length. The number of open bins is fixed;
-when one more is needed, the fullest is closed. At the usual lengths a task needs fewer, so none is.
+sequences of their own. The others are packed as they arrive: each goes to the open bin with the least free
+space that holds it. Open bins are kept by free space, and a bitset says which free spaces occur, so the
+best bin is the lowest set bit at or above the piece's length. The number of open bins is fixed; when one
+more is needed, the fullest is closed.
 
-Pieces are dealt by hash to tasks, about ``GROUP_PIECES`` each, longest first within a task; a task
-holds lengths and ids only. What tasks leave open is little against what they fill.
+Pieces are dealt by hash to tasks, about ``GROUP_PIECES`` each, and arrive in the order of their documents;
+a task holds its open bins only. What tasks leave open is little against what they fill.
 
-Defined cases: null or empty text is the end id alone; repeated rows are packed each; an empty table
-gives no rows; extra columns are ignored.
+Defined cases: null or empty text is the end id alone; repeated rows are packed each; rows with a null id
+come first; equal ids go by piece and content; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from .token_files import tokenizer_path
 from .tokens import encode_column, ids_crc32
 
 SEQUENCE = 2048
-OPEN_BINS = 1 << 15
+OPEN_BINS = 256
 GROUP_PIECES = 60_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -85,7 +85,7 @@ class BestFit:
             space = length + (fit & -fit).bit_length() - 1
             bin_ = self._take(space)
         else:
-            if self.open >= self.limit:
+            if length < self.size and self.open >= self.limit:
                 self._take((self.bits & -self.bits).bit_length() - 1)  # the fullest closes
             bin_, space, self.made = self.made, self.size, self.made + 1
         self._put(bin_, space - length)
@@ -97,18 +97,23 @@ def pack(pieces: DataFrame, *, size: int = SEQUENCE, open_bins: int = OPEN_BINS,
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, bins = TaskContext.get().partitionId() << 40, BestFit(size, open_bins)
-        for b in batches:
+        for b in slices(batches):
             at = [bins.place(n) for n in b.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([base + s for s, _ in at], type=pa.int64()), pa.array([o for _, o in at], type=pa.int64())], names=[*b.schema.names, "sequence_id", "offset"])
 
     groups = max(1, -(-(pieces.count() if count is None else count) // group_pieces))
     dealt = pieces.select("doc_id", "piece", "start", "length", "ids_crc32").repartition(groups, F.xxhash64("doc_id", "piece", "ids_crc32"))
-    return dealt.sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids_crc32").mapInArrow(place, PACKED)
+    return dealt.sortWithinPartitions("doc_id", "piece", "ids_crc32", "length").mapInArrow(place, PACKED)
 
 
 def sequences(packed: DataFrame, pieces_with_ids: DataFrame) -> DataFrame:
-    """``(sequence_id, ids)``: the packed sequences, put together from pieces that carry their ids."""
-    rows = packed.join(pieces_with_ids.select("doc_id", "piece", "ids"), ["doc_id", "piece"])
+    """``(sequence_id, ids)``: the packed sequences, put together from pieces that carry their ids.
+
+    Repeated rows have the same pieces, so one of each will do.
+    """
+    same = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    own = pieces_with_ids.select(*[F.col(c).alias(f"own_{c}") for c in same], "ids").dropDuplicates([f"own_{c}" for c in same])
+    rows = packed.join(own, [F.col(c).eqNullSafe(F.col(f"own_{c}")) for c in same])
     parts = rows.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("parts"))
     return parts.select("sequence_id", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"))
 
