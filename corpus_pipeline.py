@@ -62,13 +62,11 @@ def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each time that the mix takes a document, in shards in their shuffled order.
+    """A row for each time that the mix takes a document, whole, in shards in their shuffled order.
 
-    The document at which a source's target is met is taken whole, so a source may pass it by one document.
+    Texts without words are in no mix; an empty table stays empty; repeated rows are drawn each.
     """
-    mixed = mixing.mix(docs).withColumn("mix_draw", F.explode("mix_draws"))
-    mixed = mixed.withColumns({"mix_shard": F.col("mix_draw.shard"), "mix_place": F.col("mix_draw.place")})
-    return mixed.repartition("mix_shard").sortWithinPartitions("mix_shard", "mix_place").select(*docs.columns)
+    return mixing.take(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
