@@ -9,14 +9,16 @@ holds the term, it is generalised where PMI comes within ``SLACK_BITS`` of IC, s
 much doubt about the entity at most, and removed where it reaches IC, that is, where the term occurs
 nowhere without the entity; ``SUPPORT`` documents must show the two together.
 
+A generalised term gives way to the class of its form: a capitalised word, one in capitals, any other.
+
 All is DataFrame functions. Spans are found inside the row; the counts are aggregations with partial
 sums; the corpus is joined with the candidate terms only. The patterns have possessive repeats and
-start at the head of a run, so a very long run costs time in proportion. As no pattern looks around
-itself otherwise, a match's place is the first occurrence of its string after the match before.
+start at the head of a run, so a very long run costs time in proportion. Places are running sums of the
+lengths of matches and of what lies between them, so a text with very many matches does too.
 
 Defined cases: null text is empty and has no spans; repeated rows (same id and text) count once in the
 statistics and get the same spans; a null id is an id like others; an empty table gives no rows;
-other columns stay as they are in ``sanitise``.
+other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, materialize, small, table
+from .common import BROADCAST_ROWS, let, materialize, small, table
 
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}"
@@ -35,8 +37,12 @@ OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 SUPPORT = 2
 SLACK_BITS = 1.0
 TERM = r"\p{L}+"
-LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]", "gone": ""}
+LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
+#: Classes that terms are generalised to: words in capitals, capitalised words, others.
+CLASSES = ((r"\A\p{Lu}{2,}\z", "[ACRONYM]"), (r"\A\p{Lu}", "[NAME]"), ("", "[TERM]"))
 _SPANS = "array<struct<start:bigint,end:bigint,value:string>>"
+#: Items that a fold takes before it sets aside what it has, and spans that are cut out of one part of a text; no effect on results.
+RUN = 128
 
 
 def luhn(digits: Column) -> Column:
@@ -58,29 +64,50 @@ def _valid(kind: str, match: Column) -> Column:
     return F.length(digits).between(13, 19) & let(digits, luhn)
 
 
+def running(values: Column, start: Column, step) -> Column:
+    """What ``step`` makes of ``start`` and the values up to each place. Finished runs are set aside, as a step copies all that it holds."""
+    longs = "array<bigint>"
+
+    def of(x: Column) -> Column:
+        runs = F.when(F.size(x) > 0, F.sequence(F.lit(0), F.floor((F.size(x) - 1) / RUN).cast("int"))).otherwise(F.array().cast("array<int>"))
+
+        def run(acc: Column, k: Column) -> Column:
+            first = F.struct(acc["now"].alias("now"), F.array().cast(longs).alias("out"))
+            one = lambda a, v: let(step(a["now"], v), lambda n: F.struct(n.alias("now"), F.concat(a["out"], F.array(n)).alias("out")))
+            return let(F.aggregate(F.slice(x, k * RUN + 1, F.lit(RUN)), first, one), lambda r: F.struct(r["now"].alias("now"), F.concat(acc["out"], r["out"]).alias("out")))
+
+        return F.aggregate(runs, F.struct(start.cast("long").alias("now"), F.array().cast(longs).alias("out")), run, lambda a: a["out"])
+
+    return let(values, of)
+
+
+def placed(parts: Column, before: Column | None = None) -> Column:
+    """Spans of strings that follow each other in a text; with ``before``, of what lies in front of each."""
+    gap = (lambda i: F.length(F.get(before, i))) if before is not None else (lambda i: F.lit(0))
+    ends = running(F.transform(parts, lambda p, i: (gap(i) + F.length(p)).cast("long")), F.lit(0), lambda a, n: a + n)
+    return let(ends, lambda e: F.transform(parts, lambda p, i: F.struct((F.get(e, i) - F.length(p)).cast("long").alias("start"), F.get(e, i).alias("end"), p.alias("value"))))
+
+
 def base_spans(text: Column, kind: str) -> Column:
     """Spans (start, end, value) of one kind, in code points, end exclusive."""
     pattern = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}[kind]
     sign = {"email": text.contains("@"), "ip": text.contains("."), "phone": text.contains("+"), "card": text.rlike("[0-9][ -]?[0-9]")}[kind]
     none = F.array().cast(_SPANS)
+    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    place = lambda m: let(F.split(text, pattern, -1), lambda gaps: F.filter(placed(m, gaps), lambda s: _valid(kind, s["value"])))
+    return F.when(sign, let(matches, lambda m: F.when(F.size(m) > 0, place(m)).otherwise(none))).otherwise(none)
 
-    def place(matches: Column) -> Column:
-        def step(acc: Column, m: Column) -> Column:
-            at = F.call_function("locate", m, text, acc["pos"])
-            span = lambda p: F.struct(F.lit(True).alias("x"), (p - 1).cast("long").alias("start"), (p - 1 + F.length(m)).cast("long").alias("end"), m.alias("value"))
-            return let(at, lambda p: F.struct((p + F.length(m)).cast("int").alias("pos"), F.concat(acc["out"], F.array(span(p).dropFields("x"))).alias("out")))
 
-        start = F.struct(F.lit(1).alias("pos"), none.alias("out"))
-        return F.aggregate(matches, start, step, lambda a: F.filter(a["out"], lambda s: _valid(kind, s["value"])))
+def _text(text_col: str) -> Column:
+    return F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return F.when(sign, let(matches, lambda m: F.when(F.size(m) > 0, place(m)).otherwise(none))).otherwise(none)
+
+def _key(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(id_col), _text(text_col))
 
 
-def with_base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with a span array for each kind, ``pii_email`` and so on, and ``pii_key`` of id and text."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.withColumns({"pii_key": F.xxhash64(F.col(id_col), text)} | {f"pii_{k}": base_spans(text, k) for k in KINDS})
+def _base(text_col: str) -> Column:
+    return F.struct(*[base_spans(_text(text_col), k).alias(k) for k in KINDS])
 
 
 def text_terms(text: Column) -> Column:
@@ -90,13 +117,13 @@ def text_terms(text: Column) -> Column:
 
 def disclosing_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(pii_key, terms)``: for documents that need it, the terms to generalise (False) or remove (True)."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    found = with_base_spans(docs.select(id_col, text_col), id_col, text_col).filter(sum((F.size(f"pii_{k}") for k in KINDS), F.lit(0)) > 0)
+    text = _text(text_col)
+    found = docs.select(_key(id_col, text_col).alias("pii_key"), text.alias("text"), _base(text_col).alias("base")).filter(sum((F.size(f"base.{k}") for k in KINDS), F.lit(0)) > 0)
 
     def of(kind: str) -> Column:
-        return F.transform(f"pii_{kind}", lambda s: F.xxhash64(F.lit(kind), F.lower(s["value"])))
+        return F.transform(f"base.{kind}", lambda s: F.xxhash64(F.lit(kind), F.lower(s["value"])))
 
-    rows = found.select("pii_key", F.array_distinct(F.flatten(F.array(*map(of, KINDS)))).alias("entities"), text_terms(text).alias("terms")).dropDuplicates(["pii_key"])
+    rows = found.select("pii_key", F.array_distinct(F.flatten(F.array(*map(of, KINDS)))).alias("entities"), text_terms(F.col("text")).alias("terms")).dropDuplicates(["pii_key"])
     rows = materialize(rows, "pii-entities")
     held = rows.select("pii_key", F.explode("entities").alias("entity"))
     n_e = materialize(held.groupBy("entity").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= SUPPORT), "pii-n-e")  # others have no pair with support
@@ -106,10 +133,13 @@ def disclosing_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     pairs = materialize(pairs, "pii-pairs")
     candidates = materialize(pairs.select("term").distinct(), "pii-terms")
     n_terms = candidates.count()
-    corpus = docs.select(F.xxhash64(F.col(id_col), text).alias("pii_key"), text.alias("text"))
+    corpus = docs.select(_key(id_col, text_col).alias("pii_key"), text.alias("text"))
     n = corpus.count()
     own = corpus.select("pii_key", F.explode(text_terms(F.col("text"))).alias("term"))
-    n_t = own.join(small(candidates, n_terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    if n_terms <= BROADCAST_ROWS:
+        n_t = own.join(F.broadcast(candidates), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    else:  # sums meet, not words: a very frequent one is a row for each task
+        n_t = own.groupBy("term").agg(F.count("*").alias("n_t")).join(candidates, "term", "left_semi")
     scored = pairs.join(n_t, "term").join(n_e, "entity")
     ic = F.log2(F.lit(float(n)) / F.col("n_e"))
     pmi = F.log2(F.lit(float(n)) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
@@ -122,57 +152,85 @@ def disclosing_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def term_spans(text: Column, terms: Column, base: Column) -> Column:
     """Spans of the words of ``text`` that are among ``terms`` and outside the spans ``base``."""
     pieces = F.regexp_extract_all(text, F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))
-    start = F.struct(F.lit(0).cast("long").alias("pos"), F.array().cast("array<struct<start:bigint,end:bigint,value:string>>").alias("out"))
+    known = lambda s: F.exists(terms, lambda t: t["term"] == F.lower(s["value"])) & ~F.exists(base, lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"]))
+    return F.filter(let(pieces, lambda p: placed(p)), known)
 
-    def step(acc: Column, piece: Column) -> Column:
-        end = (acc["pos"] + F.length(piece)).cast("long")
-        known = F.exists(terms, lambda t: t["term"] == F.lower(piece)) & ~F.exists(base, lambda s: (s["start"] < end) & (s["end"] > acc["pos"]))
-        return F.struct(end.alias("pos"), F.when(known, F.concat(acc["out"], F.array(F.struct(acc["pos"].alias("start"), end.alias("end"), piece.alias("value"))))).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(pieces, start, step, lambda a: a["out"])
+def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_col: str = "pii_spans") -> DataFrame:
+    """``docs`` with a struct ``out_col`` of span arrays ``email, ip, card, phone, term``, and ``terms`` with what to do with each term."""
+    if out_col in docs.columns:
+        raise ValueError(f"docs have a column {out_col} already")
+    more = "_" * max(map(len, docs.columns))  # makes names that no column of docs has
+    key, terms, base = f"key{more}", f"terms{more}", f"base{more}"
+    told = materialize(disclosing_terms(docs, id_col, text_col), "pii-document-terms").withColumnsRenamed({"pii_key": key, "terms": terms})
+    joined = docs.withColumns({key: _key(id_col, text_col), base: _base(text_col)}).join(small(told), key, "left")
+    every = F.concat(*[F.col(base)[k] for k in KINDS])
+    spans = F.when(F.col(terms).isNotNull(), term_spans(_text(text_col), F.col(terms), every)).otherwise(F.array().cast(_SPANS))
+    return joined.select(*docs.columns, F.struct(*[F.col(base)[k].alias(k) for k in KINDS], spans.alias("term"), F.col(terms).alias("terms")).alias(out_col))
 
 
-def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``pii_email, pii_ip, pii_card, pii_phone`` and ``pii_term`` span arrays, and ``pii_terms`` with what to do with each term."""
-    terms = materialize(disclosing_terms(docs, id_col, text_col), "pii-document-terms").withColumnRenamed("terms", "pii_terms")
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    joined = with_base_spans(docs, id_col, text_col).join(small(terms), "pii_key", "left")
-    base = F.concat(*[F.col(f"pii_{k}") for k in KINDS])
-    spans = F.when(F.col("pii_terms").isNotNull(), term_spans(text, F.col("pii_terms"), base)).otherwise(F.array().cast(_SPANS))
-    return joined.withColumn("pii_term", spans)
+def rewrite(text: Column, spans: Column) -> Column:
+    """``text`` with labels for ``spans`` (start, end, label), which are sorted and may overlap.
 
+    A span that reaches further than those before it puts its label after what lies between. Runs of spans
+    are cut out of the text first, so that none is sought from the text's start.
+    """
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with every span in the text replaced by its label, or removed; texts without spans stay as they are."""
-    found = find_spans(docs, id_col, text_col)
-    text = F.col(text_col)
+    def of(x: Column) -> Column:
+        reach = running(F.transform(x, lambda s: s["end"]), F.lit(0), lambda a, e: F.greatest(a, e))
+
+        def cuts(ends: Column) -> Column:
+            before = lambda i: F.coalesce(F.get(ends, i - 1), F.lit(0).cast("long"))
+            each = F.transform(x, lambda s, i: F.struct(before(i).alias("at"), F.greatest(s["start"], before(i)).alias("start"), s["end"].alias("end"), s["label"].alias("label")))
+            return F.filter(each, lambda s: s["end"] > s["at"])
+
+        def parts(c: Column) -> Column:
+            def run(k: Column) -> Column:
+                own = F.slice(c, k * RUN + 1, F.lit(RUN))
+
+                def cut(some: Column) -> Column:
+                    first, last = F.element_at(some, 1)["at"], F.element_at(some, -1)["start"]
+                    inside = F.substring(text, (first + 1).cast("int"), (last - first).cast("int"))
+                    return let(inside, lambda t: F.array_join(F.transform(some, lambda s: F.concat(F.substring(t, (s["at"] - first + 1).cast("int"), (s["start"] - s["at"]).cast("int")), s["label"])), ""))
 
-    def label(kind: str) -> Column:
-        return F.transform(f"pii_{kind}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(LABELS[kind]).alias("label")))
+                return let(own, cut)
+
+            runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(c) - 1) / RUN).cast("int")), run)
+            return F.concat(F.array_join(runs, ""), F.substring(text, (F.element_at(c, -1)["end"] + 1).cast("int"), F.lit(2147483647)))
+
+        return let(let(reach, cuts), parts)
+
+    return let(spans, lambda x: F.when(F.size(x) > 0, of(x)).otherwise(text))
+
+
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with every span in the text replaced by its label or class, or removed; texts without spans stay as they are."""
+    out = "pii" + "_" * max(map(len, docs.columns))
+    found = find_spans(docs, id_col, text_col, out)
+    spans = F.col(out)
 
-    labelled = [label(k) for k in KINDS]
-    gone = lambda s: F.exists("pii_terms", lambda t: t["gone"] & (t["term"] == F.lower(s["value"])))
-    labelled.append(F.transform("pii_term", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(gone(s), LABELS["gone"]).otherwise(LABELS["term"]).alias("label"))))
-    spans = F.array_sort(F.concat(*labelled))
-    start = F.struct(F.lit(0).cast("long").alias("pos"), F.lit("").alias("out"))
+    def labelled(kind: str, label) -> Column:
+        return F.transform(spans[kind], lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), label(s["value"]).alias("label")))
 
-    def step(a: Column, s: Column) -> Column:
-        gap = F.substring(text, (a["pos"] + 1).cast("int"), F.greatest(F.lit(0), s["start"] - a["pos"]).cast("int"))
-        return F.struct(F.greatest(a["pos"], s["end"]).alias("pos"), F.when(s["end"] > a["pos"], F.concat(a["out"], gap, s["label"])).otherwise(a["out"]).alias("out"))
+    def wider(value: Column) -> Column:
+        gone = F.exists(spans["terms"], lambda t: t["gone"] & (t["term"] == F.lower(value)))
+        form = F.when(gone, "")
+        for pattern, label in CLASSES:
+            form = form.when(value.rlike(pattern), label)
+        return form
 
-    rest = lambda a: F.concat(a["out"], F.substring(text, (a["pos"] + 1).cast("int"), F.lit(2147483647)))
-    clean = let(spans, lambda x: F.when(F.size(x) > 0, F.aggregate(x, start, step, rest)).otherwise(text))
-    return found.withColumn(text_col, clean).select(*docs.columns)
+    every = F.array_sort(F.concat(*[labelled(k, lambda _, k=k: F.lit(LABELS[k])) for k in KINDS], labelled("term", wider)))
+    return found.withColumn(text_col, rewrite(F.col(text_col), every)).select(*docs.columns)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
     def say(kind: str) -> Column:
-        return F.transform(f"pii_{kind}", lambda s: F.concat_ws(":", F.lit(kind), s["start"].cast("string"), s["end"].cast("string")))
+        return F.transform(f"pii_spans.{kind}", lambda s: F.concat_ws(":", F.lit(kind), s["start"].cast("string"), s["end"].cast("string")))
 
     said = {k: say(k) for k in (*KINDS, "term")}
     return found.select(
-        "doc_id", *[F.size(f"pii_{k}").cast("long").alias(f"n_{k}") for k in KINDS],
+        "doc_id", *[F.size(f"pii_spans.{k}").cast("long").alias(f"n_{k}") for k in KINDS],
         F.sha2(F.array_join(F.concat(*[said[k] for k in KINDS]), ","), 256).alias("base_sha256"), F.array_join(F.concat(*said.values()), ",").alias("spans"),
     )

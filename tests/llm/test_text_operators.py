@@ -215,7 +215,7 @@ def test_pii(spark):
     n = 0
     for row in pii.find_spans(df).collect():
         for k, want in base_spans(texts[row.doc_id]).items():
-            assert [(s.start, s.end) for s in row[f"pii_{k}"]] == want, (k, texts[row.doc_id][:80])
+            assert [(s.start, s.end) for s in row.pii_spans[k]] == want, (k, texts[row.doc_id][:80])
         n += 1
     assert n == len(texts)
     clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
