@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import new_path, slices, table
+from .common import new_path, slices, small, table
 from .tokens import encode_column, ids_crc32
 
 ROW_GROUP_BYTES = 32 << 20
@@ -62,10 +62,9 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer: str, end_id: int, id_
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """The file columns and ``start``, the number of ids of all documents before; only columns asked for are read."""
     files = spark.read.schema(SCHEMA).parquet(path)
-    # one row for each shard
     totals = files.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     before = totals.select(F.col("shard").alias("of"), F.coalesce(F.sum("n").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    return files.join(F.broadcast(before), F.col("shard") == F.col("of")).drop("of").withColumn("start", F.col("base") + F.col("shard_start")).drop("base")
+    return files.join(small(before), F.col("shard") == F.col("of")).drop("of").withColumn("start", F.col("base") + F.col("shard_start")).drop("base")
 
 
 def with_crc32(tokens: DataFrame) -> DataFrame:

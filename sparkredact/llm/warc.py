@@ -30,6 +30,7 @@ from .common import materialize, new_path, small, table
 MIN_REVISIT_BYTES = 100
 ROLL_BYTES = 16 << 20
 GZIP_LEVEL = 5
+BLOCK_BYTES = 64 << 10
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "path string, kind string, offset long, length long, reason string, record_type string, page_id long, url string, payload_bytes long, payload_digest string, refers_to long, payload binary"
@@ -155,13 +156,16 @@ def parse_record(data: bytes, at: int = 0) -> tuple[Record | None, int, str]:
 
 
 def _member(data: bytes, at: int) -> tuple[bytes | None, int]:
-    """What the gzip member at ``at`` holds and where it ends; None if it is not whole."""
-    pull = zlib.decompressobj(31)
+    """What the gzip member at ``at`` holds and where it ends; None if it is not whole. Fed by blocks, so no more than one is copied."""
+    pull, view, out, pos = zlib.decompressobj(31), memoryview(data), [], at
     try:
-        out = pull.decompress(memoryview(data)[at:])
+        while not pull.eof and pos < len(data):
+            block = view[pos : pos + BLOCK_BYTES]
+            out.append(pull.decompress(block))
+            pos += len(block)
     except zlib.error:
         return None, at
-    return (out, len(data) - len(pull.unused_data)) if pull.eof else (None, at)
+    return (b"".join(out), pos - len(pull.unused_data)) if pull.eof else (None, at)
 
 
 def _valid_at(data: bytes, at: int) -> tuple[list[Record], int, str]:
@@ -238,7 +242,7 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> Dat
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     manifest = write_warc(with_revisits(table(spark, sf_dir, "pages")), path)
-    files = F.broadcast(manifest.select("file")) if manifest.count() <= 1_000_000 else manifest.select("file")
+    files = small(manifest.select("file"))
     back = read_warc(spark, path).filter("kind = 'record'").withColumn("file", F.element_at(F.split("path", "/"), -1))
     return back.join(files, "file", "left_semi").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 

@@ -1,5 +1,6 @@
 import gzip
 
+import pytest
 import numpy as np
 
 from sparkredact.llm import topk, warc
@@ -70,3 +71,30 @@ def test_topk(spark):
         got = sorted(tuple(x) for x in topk.top_k(ask, every, 10, query_block=block).select("query_id", "rank", "vec_id", "score").collect())
         assert got == brute(rows, 10)
     assert topk.top_k(ask.limit(0), every).count() == 0 == topk.top_k(ask, every.limit(0)).count()
+
+
+def test_many_members_in_one_file():
+    import gzip
+    import time
+
+    from sparkredact.llm import warc
+
+    member = gzip.compress(warc.record_bytes(1, "u", b"x" * 300, "d", None), mtime=0)
+
+    def seconds(n):
+        start = time.perf_counter()
+        assert sum(1 for _ in warc.salvage(member * n)) == n
+        return time.perf_counter() - start
+
+    seconds(500)
+    assert seconds(16_000) < 10 * seconds(4_000) + 0.5
+
+
+def test_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from sparkredact.llm import common
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(cluster)
