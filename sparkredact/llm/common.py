@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
-#: A side of a join is broadcast only after its rows were counted and are at most this many.
-BROADCAST_ROWS = 200_000
+#: A side of a join is broadcast only after its rows were counted, if with the bytes of a row they come to this at most.
+BROADCAST_BYTES, ROW_BYTES = 32 << 20, 160
+BROADCAST_ROWS = BROADCAST_BYTES // ROW_BYTES
 
 #: Rows of an Arrow batch that a worker takes and sends on at once.
 SLICE_ROWS = 512
@@ -52,10 +53,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """``df`` marked for broadcast when its counted rows are at most BROADCAST_ROWS, else unchanged."""
+def small(df: DataFrame, rows: int | None = None, row_bytes: int = ROW_BYTES) -> DataFrame:
+    """``df`` marked for broadcast when its counted rows, of ``row_bytes`` each, come to BROADCAST_BYTES at most, else unchanged."""
     rows = df.count() if rows is None else rows
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
 def words(text: Column) -> Column:

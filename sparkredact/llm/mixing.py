@@ -187,12 +187,14 @@ def take(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
     plan = mix_plan(docs, id_col=id_col, source_col=source_col, text_col=text_col, seed=seed, **options)
     more = "_" * max(map(len, docs.columns))  # makes names that no column of docs has
     key, row, shard, place = (n + more for n in ("key", "row", "shard", "place"))
-    plan = materialize(plan.filter("taken > 0").select(F.col("key").alias(key), F.col("row").alias(row), F.explode(F.filter("draws", lambda d: d["head"])).alias("d")).select(key, row, F.col("d.shard").alias(shard), F.col("d.place").alias(place), F.col("d.pass").alias("p")), "mix-takes")
+    short = lambda k: F.conv(F.substring(k, 1, 15), 16, 10).cast("long")
+    heads = plan.filter("taken > 0").select(short(F.col("key")).alias(key), F.col("row").alias(row), F.explode(F.filter("draws", lambda d: d["head"])).alias("d"))
+    heads = materialize(heads.select(key, row, F.col("d.shard").cast("int").alias(shard), F.col("d.place").alias(place), F.col("d.pass").alias("p")), "mix-takes")
     keys = _keys(docs, id_col, text_col, seed)
-    keyed = docs.withColumns({key: keys[0], row: keys[1]})
-    if not plan.groupBy(key, row, "p").count().filter("count > 1").isEmpty():  # rows alike in all: any stands for them
+    keyed = docs.withColumns({key: short(keys[0]), row: keys[1]})
+    if not heads.groupBy(key, row, "p").count().filter("count > 1").isEmpty():  # rows alike in all: any stands for them
         keyed = keyed.dropDuplicates([key, row])
-    taken = keyed.join(small(plan.drop("p")), [key, row])
+    taken = keyed.join(small(heads.drop("p"), row_bytes=48), [key, row])
     return taken.repartition(shard).sortWithinPartitions(shard, place, key).select(*docs.columns)
 
 

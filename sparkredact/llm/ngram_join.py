@@ -43,7 +43,7 @@ from .graph import components
 from .shingles import class_number, shingle_set
 
 #: Shingles and classes whose prefixes a task merges at once, and rows that it sends on at once.
-LOCAL_SHINGLES, LOCAL_CLASSES, SENT_ROWS = 1_000_000, 40_000, 50_000
+LOCAL_SHINGLES, LOCAL_CLASSES, SENT_ROWS = 500_000, 40_000, 50_000
 #: Ratio of a length band; above 1.25, the greatest ratio of linked sizes, so that these differ by one band at most.
 BAND = 1.26
 #: Shingles and classes of a block, and those of a portion that searches it.
@@ -107,8 +107,10 @@ def _merged(classes: dict[int, tuple[int, np.ndarray]], own: int) -> Iterator[pa
     starts, lens = _runs(toks)
     several = np.repeat(lens > 1, lens)
     marks = toks[starts[lens > 1]]
+    back = np.argsort(order[~several])  # class by class, as alike rows in a row take less when they travel
+    single, whose_single = toks[~several][back], at[~several][back]
     number, n = np.array(list(classes), np.int64), np.array([n for n, _ in classes.values()], np.int64)
-    for t, c, o in [(toks[~several], at[~several], 0), (marks, None, 0), (toks[several], at[several], own)]:
+    for t, c, o in [(single, whose_single, 0), (marks, None, 0), (toks[several], at[several], own)]:
         for k in range(0, len(t), SENT_ROWS):
             part, some = t[k : k + SENT_ROWS], None if c is None else c[k : k + SENT_ROWS]
             whose = pa.nulls(len(part), pa.int64()) if some is None else pa.array(number[some])
@@ -268,7 +270,7 @@ def block_links(rows: DataFrame) -> DataFrame:
 
 
 def whole_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(class, n, weight, toks)`` of the classes of ``wanted(doc_id, text_hash, weight)``, which has a row for each."""
+    """``(class, n, weight, toks)`` of the classes of ``wanted(doc_id, text_hash, weight)``; a row for each of ``rows`` that is one of these."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -278,7 +280,7 @@ def whole_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
     keys = small(wanted.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "weight"))
     own = rows.join(keys, rows["doc_id"].eqNullSafe(keys["id"]) & (F.col("text_hash") == F.col("hash")))
-    return own.select("text", "weight").mapInArrow(sets, "class long, n long, weight long, toks array<long>").dropDuplicates(["class"])
+    return own.select("text", "weight").mapInArrow(sets, "class long, n long, weight long, toks array<long>")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -295,7 +297,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     asked = materialize(routes(plan), "search-routes")
     visited = materialize(visits(plan, asked), "search-visits")
     wanted = classes.join(visited.select("class").distinct(), "class", "left_semi")
-    sets = materialize(whole_sets(rows, materialize(wanted, "searched-classes")), "shingle-sets")
+    sets = whole_sets(rows, materialize(wanted, "searched-classes"))
+    if not meta.filter("n > 0").groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty():  # rows alike in all
+        sets = sets.dropDuplicates(["class"])
+    sets = materialize(sets, "shingle-sets")
     found = materialize(block_links(visited.join(sets, "class")), "block-links")
     edges = found.filter("b is not null").select("a", "b")
     nodes = materialize(components(edges), "components")
