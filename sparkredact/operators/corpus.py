@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .pipeline import Config, detect
+from .pipeline import Config, detect, detect_spans
 
 CHUNK_CHARS = 10_000
 SENTENCE_CHARS, OVERLAP_WORDS = 1_500, 40
@@ -16,6 +16,7 @@ SAMPLE_ENTITIES = 5
 LOG_BATCH, LOG_LEAST, CHAT_BATCH, MESSAGE_LEAST = 50, 20, 20, 10
 SAMPLE_ROWS, SAMPLE_CHECKED, SAMPLE_LEAST = 100, 50, 3
 PII_RATIO, POSSIBLE_RATIO = 0.3, 0.1
+#: Fixed format of an exported chat line.
 WHATSAPP = r"\A\[([0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}),\s*([0-9]{1,2}:[0-9]{2}:[0-9]{2}\s*[AP]M)\]\s*([^:]+):\s*(.*)"
 
 
@@ -79,20 +80,24 @@ def string_columns(df: DataFrame) -> list[str]:
     return [c for c, kind in df.dtypes if kind == "string"]
 
 
-def classify_columns(df: DataFrame, table: str, order_col: str, columns: Sequence[str] | None = None, config: Config = Config()) -> DataFrame:
-    """Which string columns hold personal data, from a sample by order (the first rows are the recipe's sample)."""
+def classify_columns(df: DataFrame, table: str, order_col: str, columns: Sequence[str] | None = None, config: Config = Config.corpus()) -> DataFrame:
+    """Which string columns hold personal data, from a sample by order (the first rows are the recipe's sample).
+
+    Each sampled value is scanned by itself, whatever its length; a column without entities has no row.
+    """
     out = None
     for c in columns or string_columns(df):
         rows = df.filter(F.col(c).isNotNull()).orderBy(order_col).limit(SAMPLE_ROWS).select(F.col(order_col).alias("o"), F.col(c).alias("v")).filter(F.length("v") > SAMPLE_LEAST)
-        one = rows.agg(F.array_sort(F.collect_list(F.struct("o", "v"))).alias("x")).select(F.lit(c).alias("column_name"), F.size("x").alias("n"), F.array_join(F.transform(F.slice("x", 1, SAMPLE_CHECKED), lambda x: x["v"]), "\n").alias("text"))
+        one = rows.agg(F.array_sort(F.collect_list(F.struct("o", "v"))).alias("x")).select(F.lit(c).alias("column_name"), F.size("x").alias("n"), F.explode(F.slice("x", 1, SAMPLE_CHECKED)).alias("s")).select("column_name", "n", F.col("s.v").alias("text"))
         out = one if out is None else out.unionByName(one)
-    found = detect(out, "text", config=config).filter(F.size("entities") > 0)
-    kinds = F.transform("entities", lambda e: e["type"])
-    counts = F.transform(F.array_distinct(kinds), lambda k, i: F.struct(F.size(F.filter(kinds, lambda x: x == k)).alias("n"), (-i).alias("i"), k.alias("k")))
-    ratio = F.size("entities") / F.col("n")
-    return found.select(
-        F.lit(table).alias("table_name"), "column_name", F.col("n").cast("long").alias("samples_checked"), F.size("entities").cast("long").alias("entities_found"), F.round(ratio, 2).alias("pii_ratio"),
-        F.array_max(counts)["k"].alias("dominant_type"), F.when(ratio > PII_RATIO, "PII").when(ratio > POSSIBLE_RATIO, "POSSIBLE_PII").otherwise("UNLIKELY_PII").alias("classification"),
+    found = detect_spans(out, ["column_name", "n"], "text", config=config)
+    kinds = found.groupBy("column_name", "n", "type").agg(F.count("*").alias("k"))
+    per = kinds.groupBy("column_name", "n").agg(F.sum("k").alias("entities"), F.min(F.struct((-F.col("k")).alias("k"), "type")).alias("top"), F.array_sort(F.collect_list(F.struct("type", "k"))).alias("kinds"))
+    ratio = F.col("entities") / F.col("n")
+    return per.select(
+        F.lit(table).alias("table_name"), "column_name", F.col("n").cast("long").alias("samples_checked"), F.col("entities").cast("long").alias("entities_found"), F.round(ratio, 2).alias("pii_ratio"),
+        F.col("top.type").alias("dominant_type"), F.array_join(F.transform("kinds", lambda k: F.concat_ws(": ", k["type"], k["k"].cast("string"))), ", ").alias("type_distribution"),
+        F.when(ratio > PII_RATIO, "PII").when(ratio > POSSIBLE_RATIO, "POSSIBLE_PII").otherwise("UNLIKELY_PII").alias("classification"),
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import redaction, rules, scanners, sweeps
-from ..functions.spans import SPANS, let, pattern_spans, span, with_char_offsets
+from ..functions.spans import SPANS, let, no_spans, pattern_spans, span, with_char_offsets
 from ..functions.vocab import CANONICAL, SERVER_THRESHOLDS
 from ..operators import corpus, decode, limiter
 from ..operators.pipeline import Config, detect, detect_spans, length_error, run_pipeline
@@ -25,11 +25,14 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def derived_candidates(text: Column, doc_id: Column) -> Column:
     """Candidate spans made by rule, as the tables have no model's: phones, 16-digit numbers, e-mails as names, longer and shorter cuts of them."""
-    hits = F.concat(pattern_spans(text, PHONE, "phone_number", 0), pattern_spans(text, DIGITS, "bank_account_number", 0), F.transform(scanners.email_spans(text), lambda s: s.withField("label", F.lit("person_name"))), scanners.ip_spans(text))
+    # a plain test first, as most texts have neither
+    phones = F.when(text.contains("+1 ("), pattern_spans(text, PHONE, "phone_number", 0)).otherwise(no_spans())
+    digits = F.when(text.rlike(DIGITS), pattern_spans(text, DIGITS, "bank_account_number", 0)).otherwise(no_spans())
+    hits = F.concat(phones, digits, F.transform(scanners.email_spans(text), lambda s: s.withField("label", F.lit("person_name"))), scanners.ip_spans(text))
     score = lambda s: (((doc_id * 31 + s["start"]) % 100) / 100).cast("float")
+    head = lambda s: s.withField("end", s["start"] + 4).withField("text", F.substring(s["text"], F.lit(1), F.lit(4))).withField("label", F.lit("passport_number")).withField("score", ((doc_id * 17 + s["start"]) % 100 / 100).cast("float"))
     scored = F.transform(hits, lambda s: s.withField("score", score(s)))
-    heads = F.transform(scored, lambda s: s.withField("end", s["start"] + 4).withField("text", F.substring(s["text"], F.lit(1), F.lit(4))).withField("label", F.lit("passport_number")).withField("score", ((doc_id * 17 + s["start"]) % 100 / 100).cast("float")))
-    return F.concat(scored, heads).cast(SPANS)
+    return let(scored, lambda found: F.concat(found, F.transform(found, head))).cast(SPANS)
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +139,7 @@ def review_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rows(_candidates(spark, sf_dir).filter(F.size("spans") > 0).withColumn("spans", sweeps.dedup(F.col("spans"))))
+    return _rows(_candidates(spark, sf_dir).withColumn("spans", sweeps.dedup(F.col("spans"))))
 
 
 def merge_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,8 +150,7 @@ def merge_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _candidates(spark, sf_dir).filter(F.size("spans") > 0)
-    return _rows(run_pipeline(docs, "text", "spans", Config.server()))
+    return _rows(run_pipeline(_candidates(spark, sf_dir), "text", "spans", Config.server()))
 
 
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,11 +271,13 @@ def log_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def conversation_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").filter(F.length("text") >= corpus.MESSAGE_LEAST)
-    return corpus.file_report(detect(turns), ["role"])
+    return corpus.file_report(detect(turns, config=Config.corpus()), ["role"])
 
 
 def column_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.classify_columns(_docs(spark, sf_dir), "documents", "doc_id")
+    """The documents' columns, and the texts with an address in a column of their own."""
+    docs = _docs(spark, sf_dir).withColumn("reachable", F.when(F.col("text").contains("@"), F.col("text")))
+    return corpus.classify_columns(docs, "documents", "doc_id")
 
 
 def strict_match(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,9 +30,9 @@ def _ips(src: str = "documents", key: str = "doc_id", text: str = "text") -> str
     return _hits(src, key, text, _IP, r"^[^0-9]", "ip_address", rf"regexp_full_match(v, '{_OCTET}(\.{_OCTET}){{3}}')")
 
 
-_SHORT = "(SELECT * FROM documents WHERE strlen(text) <= 50000)"
+_WORD = r"[\p{L}\p{M}\p{N}_]+(?:[-_][\p{L}\p{M}\p{N}_]+)*|[^\s]"
 _FOUND = f"f AS ({_emails()} UNION ALL {_ips()})"
-_DETECTED = f"f AS ({_emails(_SHORT)} UNION ALL {_ips(_SHORT)})"
+_DETECTED = _FOUND
 _ROW = "doc_id, st AS start_byte, en AS end_byte, v AS value, label"
 _BASE = f"""
 h AS (SELECT doc_id, label, st, en, v, 1 AS o FROM ({_hits('documents', 'doc_id', 'text', _PHONE, '^$', 'phone_number')})
@@ -148,4 +148,31 @@ SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, roun
 UNION ALL SELECT '(all)', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), CAST(sum(support) AS BIGINT) FROM e""",
     "scan_report": f"WITH {_DETECTED} SELECT 'doc/' || CAST(doc_id AS VARCHAR) || '.txt' AS file, count(*) AS count, {_TYPES} AS types FROM f GROUP BY 1",
     "line_annotations": f"WITH {_DETECTED}, x AS (SELECT DISTINCT f.doc_id, label, v, text FROM f JOIN documents d ON d.doc_id = f.doc_id) SELECT 'doc/' || CAST(doc_id AS VARCHAR) || '.txt' AS file, CAST(len(string_split(split_part(text, v, 1), chr(10))) AS BIGINT) AS line, label AS type FROM x",
+    "column_classes": f"""
+WITH v AS (SELECT column_name, doc_id, x FROM (SELECT doc_id, text, lang, source, CASE WHEN contains(text, '@') THEN text END AS reachable FROM documents) UNPIVOT (x FOR column_name IN (text, lang, source, reachable))),
+o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY doc_id) AS k FROM v) WHERE k <= 100 AND length(x) > 3),
+s AS (SELECT *, count(*) OVER (PARTITION BY column_name) AS n, row_number() OVER (PARTITION BY column_name ORDER BY doc_id) AS j FROM o),
+t AS (SELECT column_name, n, column_name || ' ' || doc_id AS id, x FROM s WHERE j <= 50),
+f AS ({_emails('t', 'id', 'x')} UNION ALL {_ips('t', 'id', 'x')}),
+e AS (SELECT column_name, n, label, count(*) AS k FROM f JOIN t ON t.id = f.doc_id GROUP BY 1, 2, 3),
+c AS (SELECT column_name, n, CAST(sum(k) AS BIGINT) AS entities, first(label ORDER BY k DESC, label) AS dominant_type, string_agg(label || ': ' || k, ', ' ORDER BY label) AS type_distribution FROM e GROUP BY 1, 2)
+SELECT 'documents' AS table_name, column_name, n AS samples_checked, entities AS entities_found, round(entities / n, 2) AS pii_ratio, dominant_type, type_distribution,
+  CASE WHEN entities / n > 0.3 THEN 'PII' WHEN entities / n > 0.1 THEN 'POSSIBLE_PII' ELSE 'UNLIKELY_PII' END AS classification FROM c""",
+    "merge_spans": rf"""
+WITH f AS ({_hits('documents', 'doc_id', 'text', _WORD, '^$', '')}),
+n AS (SELECT doc_id, st, en, cst, cen, CASE WHEN length(v) % 3 = 0 THEN 'street_address' ELSE 'person_name' END AS name FROM f),
+b AS (SELECT *, CASE WHEN name = lag(name) OVER w AND st - lag(en) OVER w <= 2 THEN 0 ELSE 1 END AS is_new FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY st)),
+g AS (SELECT *, sum(is_new) OVER (PARTITION BY doc_id ORDER BY st) AS run FROM b),
+m AS (SELECT doc_id, min(st) AS start_byte, max(en) AS end_byte, min(cst) AS cst, max(cen) AS cen, any_value(name) AS label FROM g GROUP BY doc_id, run)
+SELECT m.doc_id, start_byte, end_byte, substr(text, cst + 1, cen - cst) AS value, label, 0.5::DOUBLE AS score FROM m JOIN documents d ON d.doc_id = m.doc_id""",
+    "chunked_audit": f"""
+WITH t AS (SELECT doc_id || ':' || k AS id, source, doc_id AS object_id, substr(text, k * 10000 + 1, 10000) AS x FROM (SELECT *, unnest(range((length(text) + 9999) // 10000)) AS k FROM documents)),
+f AS ({_emails('t', 'id', 'x')} UNION ALL {_ips('t', 'id', 'x')})
+SELECT source AS bucket, object_id, count(*) AS entities_found, {_TYPES} AS entity_types FROM f JOIN t ON t.id = f.doc_id GROUP BY 1, 2""",
+    "log_scan": f"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
+n AS (SELECT *, CAST((row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1) // 50 AS BIGINT) AS batch FROM l WHERE length(trim(x, ' ')) >= 20),
+t AS (SELECT doc_id || ':' || batch AS id, doc_id AS d, batch, string_agg(x, chr(10) ORDER BY i) AS x FROM n GROUP BY doc_id, batch),
+f AS ({_emails('t', 'id', 'x')} UNION ALL {_ips('t', 'id', 'x')})
+SELECT d AS doc_id, batch, count(*) AS entities FROM f JOIN t ON t.id = f.doc_id GROUP BY 1, 2""",
 }
