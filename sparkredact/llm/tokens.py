@@ -18,7 +18,7 @@ from itertools import chain, islice
 
 import numpy as np
 
-CACHE_PARTS = 150_000
+CACHE_PARTS = 200_000
 BATCH_CHARS = 1_000_000
 #: Words that go to the model at once.
 GROUP = 100
