@@ -65,10 +65,26 @@ def write_report(report: DataFrame, path: str, fail_on_pii: bool = True) -> dict
     return {"pii_found": total > 0, "total_findings": total, "report": path, "exit_code": int(total > 0 and fail_on_pii)}
 
 
+def _summary_row() -> Column:
+    return F.concat_ws("", F.lit("| "), "file", F.lit(" | "), F.col("count").cast("string"), F.lit(" | "), "types", F.lit(" |"))
+
+
+SUMMARY_HEAD = ["| File | Entities | Types |", "|---|---|---|"]
+
+
+def write_summary(report: DataFrame, path: str) -> None:
+    """The table of all files as text files under ``path``, in order by name, written by the executors."""
+    head = report.sparkSession.createDataFrame([(i - len(SUMMARY_HEAD), "", x) for i, x in enumerate(SUMMARY_HEAD)], "o int, file string, value string")
+    rows = head.unionByName(report.select(F.lit(0).alias("o"), "file", _summary_row().alias("value")))
+    rows.orderBy("o", "file").select("value").write.mode("overwrite").text(path)
+
+
 def summary_markdown(report: DataFrame, limit: int = 1_000) -> str:
-    """A table of the first files by name, for people to read."""
-    rows = report.orderBy("file").limit(limit).select("file", "count", "types").collect()
-    return "\n".join(["| File | Entities | Types |", "|---|---|---|", *(f"| {r.file} | {r['count']} | {r.types} |" for r in rows)])
+    """A table of the first files by name, for people to read, and totals that say how many there are; ``write_summary`` has all."""
+    rows = report.orderBy("file").limit(limit).select(_summary_row()).collect()
+    n, total = report.agg(F.count("*"), F.coalesce(F.sum("count"), F.lit(0))).first()
+    more = [f"| ... and {n - len(rows)} more files | | |"] if n > len(rows) else []
+    return "\n".join([*SUMMARY_HEAD, *(r[0] for r in rows), *more, "", f"{total} entities in {n} files"])
 
 
 def findings_json(report: DataFrame) -> DataFrame:

@@ -77,6 +77,10 @@ def test_files(spark, tmp_path):
     out = files.write_report(report, str(tmp_path / "report"))
     assert (out["total_findings"], out["exit_code"], files.gate(report)) == (2, 1, True)
     assert sorted(r.line for r in files.annotations(report, found).collect()) == [1, 2]
+    assert "2 entities in 2 files" in files.summary_markdown(report) and "and 1 more files" in files.summary_markdown(report, 1)
+    files.write_summary(report, str(tmp_path / "summary"))
+    whole = [r.value for r in spark.read.text(str(tmp_path / "summary")).collect()]
+    assert len(whole) == 4 and sum("d.md" in x for x in whole) == 1
     assert "d.md" in files.summary_markdown(report) and files.ignore(found, ["*.md"]).count() == 1
     lines = spark.createDataFrame([('{"text": "x", "boost": null}',)], "value string")
     assert files.parse_requests(lines).first().boost == []
