@@ -26,6 +26,9 @@ GROUP = 100
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A space that white space precedes and white space or the end follows.
 UNSAFE = re.compile(r"\s (?:\s|\Z)")
+#: White space and a space, which every text has that ``UNSAFE`` matches; searching for them is cheaper.
+PAIRS = [chr(c) + " " for c in range(0x3001) if chr(c).isspace()]
+ASCII_PAIRS = [p for p in PAIRS if p.isascii()]
 
 
 class _Parts(dict):
@@ -87,6 +90,10 @@ class TextEncoder:
         self.added = [""] if self.tokenizer.normalizer is not None else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.by_word = Tokenizer(self.tokenizer.model)
         self.by_word.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+        # every token stands for as many bytes as it has characters
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.token_bytes = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
+        self.token_bytes[list(vocab.values())] = list(map(len, vocab))
         self.split = regex.compile(SPLIT).findall
         self.limit, self.alphabet = cache_parts, byte_alphabet()
         self.parts, self.part_ids = _Parts(), _Store()
@@ -100,14 +107,13 @@ class TextEncoder:
         odd = [i for i, w in enumerate(new) if "\n" in w]
         for i in odd:
             new[i], odd[odd.index(i)] = "x", (i, new[i])
-        groups = ["\n".join(new[at : at + GROUP]).encode().decode("latin-1").translate(self.alphabet).replace(self.alphabet[10], "\n") for at in range(0, len(new), GROUP)]
-        lens, flat = [], []
-        for k, e in enumerate(self.by_word.encode_batch(groups, add_special_tokens=False)):
-            lens.append(np.bincount(np.array(e.word_ids), minlength=len(new[k * GROUP : (k + 1) * GROUP])))
-            flat.append(np.array(e.ids, dtype=np.uint32))
-        if not groups:
+        if not new:
             return
-        lens, flat = np.concatenate(lens), np.concatenate(flat)
+        rows = ["\n".join(new[at : at + GROUP]).encode() for at in range(0, len(new), GROUP)]
+        flat = [np.array(e.ids, dtype=np.uint32) for e in self.by_word.encode_batch_fast([r.decode("latin-1").translate(self.alphabet).replace(self.alphabet[10], "\n") for r in rows], add_special_tokens=False)]
+        # a word ends with a token, so the tokens' bytes tell where
+        flat, ends = np.concatenate(flat), np.flatnonzero(np.frombuffer(b"\n".join([*rows, b""]), dtype=np.uint8) == 10)
+        lens = np.diff(np.searchsorted(np.cumsum(self.token_bytes[flat]), ends - np.arange(len(ends))), prepend=-1)
         if odd:
             each = np.split(flat, np.cumsum(lens)[:-1])
             for i, w in odd:
@@ -126,16 +132,18 @@ class TextEncoder:
         new, self.parts.pending = self.parts.pending, []
         if not new:
             return
-        each = [self.split(" " + p) for p in new] if any(not p or p[0].isspace() or p[-1].isspace() for p in new) else None
-        words = self.split(" " + " ".join(new)) if each is None else list(chain.from_iterable(each))
-        if each is None:
-            starts = np.fromiter((w[0] == " " for w in words), dtype=bool, count=len(words))
-            if starts.sum() != len(new):
-                each = [self.split(" " + p) for p in new]
-                words = list(chain.from_iterable(each))
-        counts = np.diff(np.append(np.nonzero(starts)[0], len(words))) if each is None else np.array([len(x) for x in each])
+        row = f" {' '.join(new)} "
+        words, starts = [], []
+        # without empty parts and white space at a part's end each begins with a word that starts with a space, and no other does
+        if not any(p in row or p[::-1] in row for p in (ASCII_PAIRS if row.isascii() else PAIRS)):
+            words = self.split(row[:-1])
+            starts = np.array([i for i, w in enumerate(words) if w[0] == " "])
+        if len(starts) != len(new):
+            each = [self.split(" " + p) for p in new]
+            words = list(chain.from_iterable(each))
+            starts = np.cumsum([0, *map(len, each)])[:-1]
         lens, flat = self._by_words(words)
-        self.part_ids.add(np.add.reduceat(lens, np.cumsum(counts) - counts), flat)
+        self.part_ids.add(np.add.reduceat(lens, starts), flat)
 
     def _forget(self) -> None:
         """Back to what came first, once a batch has brought more than the caches hold."""
@@ -158,8 +166,12 @@ class TextEncoder:
             at = end
         return out
 
+    def _is_whole(self, text: str) -> bool:
+        spaced = any(p in text for p in (ASCII_PAIRS if text.isascii() else PAIRS))
+        return spaced and UNSAFE.search(text) is not None or any(a in text for a in self.added)
+
     def _batch(self, texts: list[str]) -> list[np.ndarray]:
-        whole = {i: self._plain(t) for i, t in enumerate(texts) if UNSAFE.search(t) or any(a in t for a in self.added)}
+        whole = {i: self._plain(t) for i, t in enumerate(texts) if self._is_whole(t)}
         cut = [[""] if i in whole else t.split(" ") for i, t in enumerate(texts)]
         heads = [self.split(c[0]) for c in cut]
         head_lens, head_ids = self._by_words(list(chain.from_iterable(heads)))
