@@ -68,6 +68,16 @@ def file_report(detected: DataFrame, by: Sequence[str]) -> DataFrame:
     return detected.groupBy(*by).agg(F.count("*").alias("scanned"), F.sum((n > 0).cast("long")).alias("flagged"), F.sum(n).cast("long").alias("entities"), types.alias("types"))
 
 
+def buckets_report(detected: DataFrame, by: str) -> DataFrame:
+    """Files with entities, entities and types of each bucket; ``(all)`` has the totals and the types of all."""
+    n = F.size("entities")
+    types = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.transform("entities", lambda e: e["type"]))))), ", ")
+    # a bucket without a name is not the total
+    name = F.when(F.grouping(by) == 1, "(all)").otherwise(F.col(by))
+    out = detected.rollup(by).agg(name.alias("bucket"), F.count("*").alias("files"), F.sum((n > 0).cast("long")).alias("files_with_pii"), F.sum(n).cast("long").alias("total_entities"), types.alias("types"))
+    return out.select("bucket", "files", "files_with_pii", "total_entities", "types")
+
+
 def bucket_audit(files: DataFrame, bucket_col: str = "bucket", key_col: str = "key", text_col: str = "text", config: Config = Config()) -> DataFrame:
     """Entities of each object, read in chunks; offsets count within a chunk."""
     parts = files.select(bucket_col, key_col, F.explode(chunks(F.col(text_col))).alias("c")).select(bucket_col, key_col, "c.chunk", "c.text")

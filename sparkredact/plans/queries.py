@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import redaction, rules, scanners, sweeps
+from ..functions import redaction, rules, scanners, sql, sweeps
 from ..functions.spans import SPANS, let, no_spans, pattern_spans, span, with_char_offsets
 from ..functions.vocab import CANONICAL, SERVER_THRESHOLDS
 from ..operators import corpus, decode, limiter
@@ -169,7 +169,7 @@ def _redacted(strategy: str):
 def role_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     relabelled = F.transform("spans", lambda s: s.withField("label", F.when(s["label"] == "ip_address", "government_id").otherwise(s["label"])))
     docs = _found(spark, sf_dir).withColumn("role", F.explode(F.array(*map(F.lit, ["admin", "analyst", "support_lead", "auditor", "guest"]))))
-    return docs.select("doc_id", "role", F.length(redaction.redact_for_role(F.col("text"), relabelled, F.col("role"))).cast("long").alias("n_chars"))
+    return docs.select("doc_id", "role", redaction.redact_for_role(F.col("text"), relabelled, F.col("role")).alias("view"))
 
 
 def pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,28 +210,25 @@ def span_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", F.round(decode.span_score(F.col("embedding"), F.transform("embedding", lambda x, i: F.when(i % 2 == 0, 1.0).otherwise(-1.0))), 4).alias("score"))
 
 
-def _top(col: Column) -> DataFrame:
-    return F.element_at(col, 1)
+def _names(col: str) -> Column:
+    """A label for each component."""
+    return F.transform(col, lambda x, i: F.concat(F.lit("l"), i.cast("string")))
 
 
 def classify_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _table(spark, sf_dir, "embeddings")
-    labels = F.array(*[F.lit(f"l{i}") for i in range(5)])
-    best = _top(decode.classify(F.slice("embedding", 1, 5), labels))
-    return e.select("vec_id", best["label"].alias("label"), F.round(best["score"], 4).alias("score"))
+    e = _table(spark, sf_dir, "embeddings").select("vec_id", F.element_at(decode.classify(F.col("embedding"), _names("embedding")), 1).alias("best"))
+    return e.select("vec_id", "best.label", F.round("best.score", 4).alias("score"))
 
 
 def classify_multilabel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _table(spark, sf_dir, "embeddings")
-    labels = F.array(*[F.lit(f"l{i}") for i in range(5)])
-    got = decode.classify_multi(F.slice("embedding", 1, 5), labels)
-    return e.select("vec_id", F.array_join(F.transform(got, lambda z: z["label"]), ",").alias("labels"))
+    got = decode.classify_multi(F.col("embedding"), _names("embedding"))
+    return _table(spark, sf_dir, "embeddings").select("vec_id", F.array_join(F.transform(got, lambda z: z["label"]), ",").alias("labels"))
 
 
 def structured_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two instances of head and tail candidates from each vector."""
     e = _table(spark, sf_dir, "embeddings")
-    cand = F.transform(F.slice("embedding", 1, 16), lambda x, i: F.struct((i % 2).alias("instance"), F.when(i % 4 < 2, "head").otherwise("tail").alias("field"), i.alias("start"), (i + 1).alias("end"), i.cast("string").alias("text"), decode.sigmoid(x.cast("double")).cast("float").alias("score")))
+    cand = F.transform("embedding", lambda x, i: F.struct((i % 2).alias("instance"), F.when(i % 4 < 2, "head").otherwise("tail").alias("field"), i.alias("start"), (i + 1).alias("end"), i.cast("string").alias("text"), decode.sigmoid(x.cast("double")).cast("float").alias("score")))
     rel = decode.relations(decode.best_per_field(cand, 0.5), "near")
     return e.select("vec_id", F.explode(rel).alias("r")).select("vec_id", F.col("r.head.text").alias("head"), F.col("r.tail.text").alias("tail"), F.round(F.col("r.score").cast("double"), 4).alias("score"))
 
@@ -269,6 +266,46 @@ def log_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "batch", F.size("entities").cast("long").alias("entities")).filter("entities > 0")
 
 
+def buckets_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.buckets_report(detect(_docs(spark, sf_dir), config=Config.corpus()), "source")
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of all texts, as the recipes' messages."""
+    return _docs(spark, sf_dir).select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+
+
+def slack_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line as a message in its source's channel."""
+    export = _lines(spark, sf_dir).select(F.col("source").alias("channel"), F.concat_ws(".", "doc_id", "line").alias("ts"), F.col("doc_id").alias("user"), "text")
+    found = detect(corpus.slack_messages(export), config=Config.corpus())
+    return found.filter(F.size("entities") > 0).select("channel", "ts", "user", F.size("entities").cast("long").alias("entity_count"), corpus.entity_types(F.col("entities")).alias("types"))
+
+
+def ticket_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first line as a ticket's description, the others as its comments."""
+    split = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.split("text", "\n").alias("lines"))
+    comments = F.transform(F.slice("lines", F.lit(2), F.size("lines")), lambda x, i: F.struct(x.alias("body"), (i % 2).alias("author_id")))
+    texts = corpus.ticket_texts(split.select("id", F.col("lines")[0].alias("description"), comments.alias("comments")))
+    found = detect(texts, config=Config.corpus()).filter(F.size("entities") > 0)
+    return found.select("ticket_id", "source", "author", F.size("entities").cast("long").alias("entities"), corpus.entity_types(F.col("entities")).alias("types"))
+
+
+def whatsapp_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines written as an export's messages, every seventh without the head; batches of 20, as the recipe has them without the last partial one."""
+    head = F.concat(F.lit("["), (F.col("line") % 28 + 1).cast("string"), F.lit("/11/24, 9:05:00 AM] "), F.col("source"), F.lit(": "))
+    made = _lines(spark, sf_dir).select("doc_id", "line", F.concat(F.when(F.col("line") % 7 != 6, head).otherwise(""), F.col("text")).alias("value"))
+    messages = corpus.parse_whatsapp(made).select("doc_id", "line", "date", "text")
+    found = detect(corpus.batches(messages, ["doc_id"], ["line"], "text", corpus.CHAT_BATCH, drop_partial=True), config=Config.corpus())
+    return found.filter(F.size("entities") > 0).select("doc_id", "batch", F.size("entities").cast("long").alias("entities"))
+
+
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scanners and redaction called from SQL."""
+    sql.register(spark)
+    return spark.sql("SELECT doc_id, CAST(size(pii_detect(text)) AS BIGINT) AS n, pii_has_cjk(text) AS cjk, pii_redact(text) AS redacted FROM {docs} WHERE contains(text, '@') OR text RLIKE '[0-9][.][0-9]'", docs=_docs(spark, sf_dir))
+
+
 def conversation_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").filter(F.length("text") >= corpus.MESSAGE_LEAST)
     return corpus.file_report(detect(turns, config=Config.corpus()), ["role"])
@@ -304,6 +341,6 @@ QUERIES = {
         scan_emails, scan_ips, scan_pages, scan_char_offsets, entity_counts, has_cjk, word_split, span_windows, length_guard, canonicalize, validate_formats, meta_filter, strip_context, reclassify,
         expand_emails, threshold_default, threshold_by_label, review_flags, dedup_spans, merge_spans, pipeline_full, *map(_redacted, redaction.STRATEGIES), role_views, pseudonyms, regulation,
         greedy_select, bio_decode, span_scores, classify_softmax, classify_multilabel, structured_fields, rate_limit, audit_log, source_report, batch_stats, chunked_audit, sentence_chunks, log_scan,
-        conversation_scan, column_classes, strict_match, scan_report, line_annotations,
+        buckets_report, slack_scan, ticket_scan, whatsapp_scan, sql_functions, conversation_scan, column_classes, strict_match, scan_report, line_annotations,
     )
 } | {"detect_documents": flagship}

@@ -87,6 +87,8 @@ r AS (SELECT doc_id, rn, st, en, label, v, score, 1 AS slot FROM s WHERE rn = 1
 d AS (SELECT doc_id, slot, arg_max(st, rn) AS st, arg_max(en, rn) AS en, arg_max(label, rn) AS label, arg_max(v, rn) AS v, arg_max(score, rn) AS score FROM r GROUP BY 1, 2)
 SELECT {_ROW}, {_SCORE} FROM d"""
 
+_MESSAGES = "l AS (SELECT *, doc_id || '.' || line AS id FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents))"
+_CJK = r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2EBEF}\x{30000}-\x{3134F}]"
 _PER_DOC = f"WITH {_DETECTED} SELECT doc_id, count(*) AS n_entities, {_TYPES} AS types FROM f GROUP BY 1"
 
 ORACLE_SQL = {
@@ -115,9 +117,11 @@ ORACLE_SQL = {
     "redact_consistent": _rewrite("'ENTITY_' || left(sha256(v), 6)"),
     "redact_asterisk": _rewrite("repeat('*', length(v))"),
     "redact_block": _rewrite("'███'"),
-    "role_views": f"""WITH {_FOUND}, r AS (SELECT unnest(['admin', 'analyst', 'support_lead', 'auditor', 'guest']) AS role),
-x AS (SELECT doc_id, role, sum(CASE WHEN role IN ('analyst', 'support_lead', 'guest') AND label = 'ip_address' THEN length('[GOVERNMENT_ID]') - length(v) WHEN role = 'guest' THEN length('[EMAIL_ADDRESS]') - length(v) ELSE 0 END) AS d FROM f, r GROUP BY 1, 2)
-SELECT x.doc_id, role, CAST(length(text) + d AS BIGINT) AS n_chars FROM x JOIN documents t ON t.doc_id = x.doc_id""",
+    "role_views": f"""
+WITH {_FOUND}, r AS (SELECT unnest(['admin', 'analyst', 'support_lead', 'auditor', 'guest']) AS role),
+p AS (SELECT f.*, role, text, coalesce(lag(cen) OVER (PARTITION BY f.doc_id, role ORDER BY cst), 0) AS before FROM f JOIN documents d ON d.doc_id = f.doc_id CROSS JOIN r),
+g AS (SELECT doc_id, role, string_agg(substr(text, CAST(before + 1 AS BIGINT), CAST(cst - before AS BIGINT)) || CASE WHEN role IN ('analyst', 'support_lead', 'guest') AND label = 'ip_address' THEN '[GOVERNMENT_ID]' WHEN role = 'guest' THEN '[EMAIL_ADDRESS]' ELSE v END, '' ORDER BY cst) AS head, max(cen) AS tail FROM p GROUP BY 1, 2)
+SELECT g.doc_id, role, head || substr(text, CAST(tail + 1 AS BIGINT)) AS view FROM g JOIN documents d ON d.doc_id = g.doc_id""",
     "pseudonyms": f"""
 WITH {_FOUND}, l AS (SELECT doc_id, v, dense_rank() OVER (PARTITION BY doc_id ORDER BY last DESC) AS n FROM (SELECT doc_id, v, max(cst) AS last FROM f WHERE label = 'email_address' GROUP BY 1, 2)),
 p AS (SELECT f.*, text, n, coalesce(lag(cen) OVER (PARTITION BY f.doc_id ORDER BY cst), 0) AS before FROM f JOIN documents d ON d.doc_id = f.doc_id LEFT JOIN l ON l.doc_id = f.doc_id AND l.v = f.v),
@@ -125,8 +129,8 @@ g AS (SELECT doc_id, string_agg(substr(text, CAST(before + 1 AS BIGINT), CAST(cs
 SELECT g.doc_id, head || substr(text, CAST(tail + 1 AS BIGINT)) AS deidentified FROM g JOIN documents d ON d.doc_id = g.doc_id""",
     "regulation": f"WITH {_BASE} SELECT label AS type, label IN ('person_name', 'government_id', 'phone_number', 'email_address', 'street_address', 'date_of_birth') AS pdpa_relevant, true AS gdpr_relevant, count(*) AS n FROM c GROUP BY 1, 2, 3",
     "span_scores": "SELECT vec_id, round(1 / (1 + exp(-list_sum(list_transform(range(len(embedding)), lambda i: CAST(embedding[i + 1] AS DOUBLE) * CASE WHEN i % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END)))), 4) AS score FROM embeddings",
-    "classify_softmax": "WITH x AS (SELECT vec_id, list_transform(embedding[1:5], lambda v: CAST(v AS DOUBLE)) AS e FROM embeddings) SELECT vec_id, 'l' || CAST(list_position(e, list_max(e)) - 1 AS VARCHAR) AS label, round(1 / list_sum(list_transform(e, lambda v: exp(v - list_max(e)))), 4) AS score FROM x",
-    "classify_multilabel": "SELECT vec_id, array_to_string(list_filter(list_transform([1, 2, 3, 4, 5], lambda i: CASE WHEN embedding[i] > 0 THEN 'l' || CAST(i - 1 AS VARCHAR) ELSE '' END), lambda x: x <> ''), ',') AS labels FROM embeddings",
+    "classify_softmax": "WITH x AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS e FROM embeddings) SELECT vec_id, 'l' || CAST(list_position(e, list_max(e)) - 1 AS VARCHAR) AS label, round(1 / list_sum(list_transform(e, lambda v: exp(v - list_max(e)))), 4) AS score FROM x",
+    "classify_multilabel": "SELECT vec_id, array_to_string(list_filter(list_transform(range(1, len(embedding) + 1), lambda i: CASE WHEN embedding[i] > 0 THEN 'l' || CAST(i - 1 AS VARCHAR) ELSE '' END), lambda x: x <> ''), ',') AS labels FROM embeddings",
     "rate_limit": """
 WITH RECURSIVE s AS (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
 r AS (SELECT user_id, rn, event_id, true AS admitted, [t] AS held FROM s WHERE rn = 1
@@ -175,4 +179,47 @@ n AS (SELECT *, CAST((row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1) //
 t AS (SELECT doc_id || ':' || batch AS id, doc_id AS d, batch, string_agg(x, chr(10) ORDER BY i) AS x FROM n GROUP BY doc_id, batch),
 f AS ({_emails('t', 'id', 'x')} UNION ALL {_ips('t', 'id', 'x')})
 SELECT d AS doc_id, batch, count(*) AS entities FROM f JOIN t ON t.id = f.doc_id GROUP BY 1, 2""",
+    "structured_fields": """
+WITH c AS (SELECT vec_id, unnest(range(len(embedding))) AS i, unnest(embedding) AS x FROM embeddings),
+s AS (SELECT vec_id, i, i % 2 AS instance, CASE WHEN i % 4 < 2 THEN 'head' ELSE 'tail' END AS field, CAST(1 / (1 + exp(-CAST(x AS DOUBLE))) AS FLOAT) AS score FROM c),
+b AS (SELECT vec_id, instance, field, CAST(first(i ORDER BY score DESC, i) AS VARCHAR) AS i, max(score) AS score FROM s WHERE score >= 0.5::FLOAT GROUP BY 1, 2, 3)
+SELECT h.vec_id, h.i AS head, t.i AS tail, round(CAST(h.score + t.score AS DOUBLE) / 2, 4) AS score FROM b h JOIN b t ON t.vec_id = h.vec_id AND t.instance = h.instance AND h.field = 'head' AND t.field = 'tail'""",
+    "bio_decode": rf"""
+WITH f AS ({_hits('documents', 'doc_id', 'text', _WORD, '^$', '')}),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY st) - 1 AS i, length(v) % 4 AS m FROM f),
+t AS (SELECT *, CAST((i * 37) % 100 / 100.0::DOUBLE AS FLOAT) AS prob, CASE WHEN m = 3 THEN 'ADDR' ELSE 'NAME' END AS name FROM n),
+a AS (SELECT *, m <> 0 AND prob >= 0.08::FLOAT AS ok FROM t),
+b AS (SELECT *, CASE WHEN m >= 2 AND lag(ok) OVER w AND lag(name) OVER w = name THEN 0 ELSE 1 END AS is_new FROM a WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT *, sum(is_new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM b WHERE ok),
+m AS (SELECT doc_id, min(st) AS start_byte, max(en) AS end_byte, min(cst) AS cst, max(cen) AS cen, any_value(name) AS label, max(prob) AS prob FROM g GROUP BY doc_id, run)
+SELECT m.doc_id, start_byte, end_byte, substr(text, cst + 1, cen - cst) AS value, label, round(CAST(prob AS DOUBLE), 4) AS score FROM m JOIN documents d ON d.doc_id = m.doc_id""",
+    "sentence_chunks": r"""
+WITH RECURSIVE s AS (SELECT doc_id, string_split(replace(text, chr(10), ' '), '. ') AS p FROM documents),
+r AS (SELECT doc_id, 1 AS i, CAST(NULL AS VARCHAR) AS done, p[1] || '. ' AS now FROM s
+  UNION ALL
+  SELECT doc_id, i + 1, CASE WHEN over THEN trim(now, ' ') END, CASE WHEN over THEN CASE WHEN len(own) > 40 THEN array_to_string(own[-40:], ' ') ELSE '' END || ' ' ELSE now END || next || '. '
+  FROM (SELECT *, CASE WHEN over THEN list_filter(regexp_split_to_array(now, '\s+'), lambda w: w <> '') END AS own
+    FROM (SELECT r.doc_id, i, now, p[i + 1] AS next, length(now) + length(p[i + 1]) > 1500 AND now <> '' AS over FROM r JOIN s ON s.doc_id = r.doc_id WHERE i < len(p)))),
+c AS (SELECT doc_id, i, done AS t FROM r WHERE done IS NOT NULL UNION ALL SELECT r.doc_id, i + 1, trim(now, ' ') FROM r JOIN s ON s.doc_id = r.doc_id AND i = len(p) WHERE trim(now, ' ') <> '')
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS chunk, CAST(length(t) AS BIGINT) AS n_chars FROM c""",
+    "buckets_report": f"""
+WITH {_DETECTED}, n AS (SELECT source, count(*) AS files FROM documents GROUP BY 1), e AS (SELECT d.source, f.doc_id, label FROM f JOIN documents d ON d.doc_id = f.doc_id)
+SELECT n.source AS bucket, any_value(files) AS files, count(DISTINCT doc_id) AS files_with_pii, count(doc_id) AS total_entities, coalesce({_TYPES}, '') AS types FROM n LEFT JOIN e ON e.source = n.source GROUP BY 1
+UNION ALL SELECT '(all)', (SELECT count(*) FROM documents), count(DISTINCT doc_id), count(*), coalesce({_TYPES}, '') FROM e""",
+    "slack_scan": f"""
+WITH {_MESSAGES}, m AS (SELECT * FROM l WHERE length(x) >= 10), f AS ({_emails('m', 'id', 'x')} UNION ALL {_ips('m', 'id', 'x')})
+SELECT source AS channel, id AS ts, m.doc_id AS user, count(*) AS entity_count, {_TYPES} AS types FROM f JOIN m ON m.id = f.doc_id GROUP BY 1, 2, 3""",
+    "ticket_scan": f"""
+WITH {_MESSAGES}, m AS (SELECT * FROM l WHERE CASE WHEN line = 0 THEN x <> '' ELSE length(x) >= 10 END), f AS ({_emails('m', 'id', 'x')} UNION ALL {_ips('m', 'id', 'x')}),
+t AS (SELECT m.doc_id AS ticket_id, line, count(*) AS entities, {_TYPES} AS types FROM f JOIN m ON m.id = f.doc_id GROUP BY 1, 2)
+SELECT ticket_id, CASE WHEN line = 0 THEN 'description' ELSE 'comment_' || (line - 1) END AS source, CASE WHEN line > 0 THEN CAST((line - 1) % 2 AS VARCHAR) END AS author, entities, types FROM t""",
+    "whatsapp_scan": f"""
+WITH {_MESSAGES}, n AS (SELECT *, CAST((row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1) // 20 AS BIGINT) AS batch FROM l WHERE line % 7 <> 6),
+t AS (SELECT doc_id || ':' || batch AS id, doc_id AS d, batch, string_agg(trim(x, ' '), chr(10) ORDER BY line) AS x FROM n GROUP BY doc_id, batch HAVING count(*) = 20),
+f AS ({_emails('t', 'id', 'x')} UNION ALL {_ips('t', 'id', 'x')})
+SELECT d AS doc_id, batch, count(*) AS entities FROM f JOIN t ON t.id = f.doc_id GROUP BY 1, 2""",
+    "sql_functions": f"""
+WITH {_FOUND}, r AS ({_rewrite("'[' || upper(label) || ']'")}), n AS (SELECT doc_id, count(*) AS n FROM f GROUP BY 1)
+SELECT d.doc_id, coalesce(n, 0) AS n, regexp_matches(text, '{_CJK}') AS cjk, coalesce(redacted, text) AS redacted FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN r ON r.doc_id = d.doc_id
+WHERE contains(text, '@') OR regexp_matches(text, '[0-9][.][0-9]')""",
 }
