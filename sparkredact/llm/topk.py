@@ -6,7 +6,8 @@ block Cauchy-Schwarz on the remaining mass bounds what a candidate can still gai
 upper bound is below the k-th lower bound are dropped and the survivors compacted, so later blocks
 touch few columns. Bounds only ever drop candidates that can't be among the k, so results are exact.
 
-Queries go in blocks of a bounded size that every task gets; each task keeps k candidates a query,
+Queries go in blocks of bounded rows and bytes that every task gets, and the candidates are read once a
+block, so blocks are as large as a worker holds easily; each task keeps k candidates a query,
 and these are merged by query. Vectors with a null, NaN or infinite component, null vectors and null
 ids take no part. Vectors are compared only with queries of as many dimensions. Rows that repeat a
 query's id are the query's own; a repeated candidate id counts once a row.
@@ -25,7 +26,8 @@ from pyspark.sql.window import Window as W
 from .common import materialize, table
 
 SCALE = 1024.0
-QUERY_BLOCK = 1024
+#: Queries of a block at most, and their components' bytes at most.
+QUERY_BLOCK, QUERY_BYTES = 16_384, 8 << 20
 DIM_BLOCK = 16
 OUT = "query_id long, vec_id long, score long"
 
@@ -95,7 +97,8 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, query_block: i
     """``(query_id, rank, vec_id, score)`` of the ``k`` best candidates for each query; both (vec_id, v)."""
     spark = queries.sparkSession
     asked = materialize(queries.groupBy("vec_id").agg(F.min("v").alias("v")), "topk-queries")
-    blocks = max(1, -(-asked.count() // query_block))
+    n, dims = asked.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    blocks = max(1, -(-n // max(1, min(query_block, QUERY_BYTES // (8 * max(dims, 1))))))
     found: DataFrame | None = None
     for b in range(blocks):
         rows = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow()
