@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 import math
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 
@@ -45,7 +45,13 @@ def merge_skip(lists: list[list[int]], least: int) -> Iterator[tuple[int, int]]:
                 heapq.heappush(heap, (lists[i][at[i]], i))
 
 
-def divide_skip(lists: list[np.ndarray], least: int, mu: float = MU) -> tuple[np.ndarray, np.ndarray]:
+def divide_skip(lists: Sequence[Sequence[int] | np.ndarray], least: int, mu: float = MU) -> Iterator[tuple[int, int]]:
+    """(record, occurrences) for the records in at least ``least`` of the sorted ``lists``."""
+    records, counts = divide_skip_arrays([np.asarray(x, dtype=np.int64) for x in lists], least, mu)
+    return zip(records.tolist(), counts.tolist(), strict=True)
+
+
+def divide_skip_arrays(lists: list[np.ndarray], least: int, mu: float = MU) -> tuple[np.ndarray, np.ndarray]:
     """Records in at least ``least`` of the sorted ``lists``, and in how many.
 
     The short lists are merged by a heap, to the records that reach ``least`` if all long lists hold

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .common import materialize, slices, small, table
-from .divide_skip import divide_skip
+from .divide_skip import divide_skip_arrays as divide_skip
 from .graph import components
 from .shingles import class_number, shingle_set
 
