@@ -78,7 +78,7 @@ def buckets_report(detected: DataFrame, by: str) -> DataFrame:
     return out.select("bucket", "files", "files_with_pii", "total_entities", "types")
 
 
-def bucket_audit(files: DataFrame, bucket_col: str = "bucket", key_col: str = "key", text_col: str = "text", config: Config = Config()) -> DataFrame:
+def bucket_audit(files: DataFrame, bucket_col: str = "bucket", key_col: str = "key", text_col: str = "text", config: Config = Config.corpus()) -> DataFrame:
     """Entities of each object, read in chunks; offsets count within a chunk."""
     parts = files.select(bucket_col, key_col, F.explode(chunks(F.col(text_col))).alias("c")).select(bucket_col, key_col, "c.chunk", "c.text")
     found = detect(parts, "text", config=config).filter(F.size("entities") > 0)
