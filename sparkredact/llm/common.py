@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -20,6 +23,7 @@ BROADCAST_ROWS = BROADCAST_BYTES // ROW_BYTES
 
 #: Rows of an Arrow batch that a worker takes and sends on at once.
 SLICE_ROWS = 512
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 _own_dirs: dict[str, str] = {}
 
@@ -47,9 +51,17 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage and survives lost executors.
+
+    Meanwhile Arrow batches have ``SLICE_ROWS`` rows at most, as a batch lies in memory twice, beside the JVM's heap and in the worker.
+    """
+    path, conf = new_path(df.sparkSession, name), df.sparkSession.conf
+    before = conf.get(BATCH_ROWS)
+    conf.set(BATCH_ROWS, str(min(SLICE_ROWS, int(before)) if int(before) > 0 else SLICE_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(BATCH_ROWS, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -78,3 +90,19 @@ def slices(batches: Iterable) -> Iterable:
     for batch in batches:
         for at in range(0, batch.num_rows, SLICE_ROWS):
             yield batch.slice(at, SLICE_ROWS)
+
+
+def give_back() -> None:
+    """Free the encoder that tasks of another operator left in this worker, as Spark uses its workers again.
+
+    For tasks that hold much and encode nothing; those that encode build it anew when there is none.
+    """
+    tokens = sys.modules.get(f"{__package__}.tokens")
+    if tokens is None or not tokens.encoder.cache_info().currsize:
+        return
+    tokens.encoder.cache_clear()
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import slices, small, table
+from .common import give_back, slices, small, table
 from .features import ngram_counts
 
 BITS = 14
@@ -112,6 +112,7 @@ def inverse_frequencies(texts: DataFrame) -> np.ndarray:
     """Smoothed idf of each place over all rows of ``texts(text)``; each task sends one total a place."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         n, df = 0, np.zeros(1 << BITS, dtype=np.int64)
         for b in slices(batches):
             for t in b.column(0).to_pylist():
@@ -178,6 +179,7 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str], text_col: s
 
     @F.arrow_udf("struct<pred string, score double>")
     def predict(texts: pa.Array) -> pa.Array:
+        give_back()
         out = [sent.value.predict(t.as_py()) for t in texts]
         return pa.StructArray.from_arrays([pa.array([x for x, _ in out], type=pa.string()), pa.array([p for _, p in out], type=pa.float64())], names=["pred", "score"])
 

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import materialize, slices, small, table
+from .common import give_back, materialize, slices, small, table
 from .divide_skip import divide_skip_arrays as divide_skip
 from .graph import components
 from .shingles import class_number, shingle_set
@@ -81,6 +81,7 @@ def shingle_meta(rows: DataFrame) -> DataFrame:
     """``(doc_id, text_hash, n, class)`` of every row: set size and the number of its class, null without words."""
 
     def meta(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for b in slices(batches):
             out = [(len(s), class_number(s) if len(s) else None) for s in (shingle_set(t.as_py()) for t in b.column(2))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([r[k] for r in out], type=pa.int64()) for k in range(2))], names=["doc_id", "text_hash", "n", "class"])
@@ -126,6 +127,7 @@ def shared_prefixes(rows: DataFrame) -> DataFrame:
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         held, shingles, turn = {}, 0, 0
         first = (TaskContext.get().partitionId() << 32) + 1
         for b in slices(batches):
@@ -230,6 +232,7 @@ def block_links(rows: DataFrame) -> DataFrame:
     """``(a, b, n_links)`` from ``visits`` with their sets: links (a, b) that connect, and numbers of links of a, to be added up."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         cell, held, block = None, [], None
 
         def batch_of(out: list[tuple]) -> pa.RecordBatch:
@@ -273,6 +276,7 @@ def whole_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """``(class, n, weight, toks)`` of the classes of ``wanted(doc_id, text_hash, weight)``; a row for each of ``rows`` that is one of these."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for b in slices(batches):
             for text, weight in zip(b.column(0), b.column(1).to_pylist(), strict=True):
                 s = shingle_set(text.as_py())
