@@ -11,7 +11,7 @@ REPLACE_FACTOR = 1.3
 MERGE_GAP = 2
 
 
-def _sorted(spans: Column) -> Column:
+def in_order(spans: Column) -> Column:
     """By start, longest first, best score first; otherwise in the order given."""
     keyed = F.transform(spans, lambda s, i: F.struct(s["start"].alias("a"), (-s["end"]).alias("b"), (-s["score"]).alias("c"), i.alias("i"), s.alias("s")))
     return F.transform(F.array_sort(keyed), lambda k: k["s"])
@@ -33,7 +33,7 @@ def dedup(spans: Column) -> Column:
 
         return let(F.try_element_at(kept, F.lit(-1)), against)
 
-    return F.aggregate(_sorted(spans), no_spans(), step)
+    return F.aggregate(in_order(spans), no_spans(), step)
 
 
 def merge_adjacent(spans: Column, text: Column) -> Column:
