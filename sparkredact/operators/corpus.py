@@ -16,8 +16,8 @@ SAMPLE_ENTITIES = 5
 LOG_BATCH, LOG_LEAST, CHAT_BATCH, MESSAGE_LEAST = 50, 20, 20, 10
 SAMPLE_ROWS, SAMPLE_CHECKED, SAMPLE_LEAST = 100, 50, 3
 PII_RATIO, POSSIBLE_RATIO = 0.3, 0.1
-#: Fixed format of an exported chat line.
-WHATSAPP = r"\A\[([0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}),\s*([0-9]{1,2}:[0-9]{2}:[0-9]{2}\s*[AP]M)\]\s*([^:]+):\s*(.*)"
+#: Fixed format of an exported chat line, which only a newline ends.
+WHATSAPP = r"(?d)\A\[([0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}),\s*([0-9]{1,2}:[0-9]{2}:[0-9]{2}\s*[AP]M)\]\s*([^:]+):\s*(.*)"
 
 
 def chunks(text: Column, size: int = CHUNK_CHARS) -> Column:
