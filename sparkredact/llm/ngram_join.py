@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import give_back, materialize, slices, small, table
+from .common import ROW_BYTES, give_back, materialize, slices, small, table
 from .divide_skip import divide_skip_arrays as divide_skip
 from .graph import components
 from .shingles import class_number, shingle_set
@@ -51,6 +51,9 @@ BLOCK_SHINGLES, BLOCK_CLASSES = 300_000, 512
 PORTION_SHINGLES, PORTION_CLASSES = 100_000, 128
 CELL = ["home", "band"]
 FOUND = "a long, b long, n_links long"
+VISIT = "struct<home:long,band:int,block:int,portion:int,asks:boolean>"
+#: Bytes of a visit in a broadcast, beside those of its class.
+VISIT_BYTES = 64
 
 
 def linked(inter, n_x, n_y):
@@ -229,7 +232,7 @@ class Block:
 
 
 def block_links(rows: DataFrame) -> DataFrame:
-    """``(a, b, n_links)`` from ``visits`` with their sets: links (a, b) that connect, and numbers of links of a, to be added up."""
+    """``(a, b, n_links)`` from ``whole_sets``: links (a, b) that connect, and numbers of links of a, to be added up."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
@@ -268,23 +271,30 @@ def block_links(rows: DataFrame) -> DataFrame:
 
     key = [*CELL, "block", "portion"]
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = rows.select(*key, "asks", "class", "n", "weight", "toks").repartition(parts, *key).sortWithinPartitions(*key, "asks")
+    visited = rows.select("class", "n", "weight", "toks", F.explode("visits").alias("v"))
+    placed = visited.select(*[f"v.{k}" for k in (*key, "asks")], "class", "n", "weight", "toks").repartition(parts, *key).sortWithinPartitions(*key, "asks")
     return placed.mapInArrow(search, FOUND)
 
 
 def whole_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(class, n, weight, toks)`` of the classes of ``wanted(doc_id, text_hash, weight)``; a row for each of ``rows`` that is one of these."""
+    """``(class, n, weight, toks, visits)`` of the classes of ``wanted(doc_id, text_hash, weight, visits)``; a row for each of ``rows`` that is one of these.
+
+    The visits come along, so that sets, which are large, travel only once: to the blocks.
+    """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
         for b in slices(batches):
-            for text, weight in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+            for i, (text, weight) in enumerate(zip(b.column(0), b.column(1).to_pylist(), strict=True)):
                 s = shingle_set(text.as_py())
-                yield pa.RecordBatch.from_arrays([pa.array([class_number(s)]), pa.array([len(s)]), pa.array([weight]), pa.ListArray.from_arrays(pa.array([0, len(s)], pa.int32()), pa.array(np.sort(s.view(np.int64))))], names=["class", "n", "weight", "toks"])
+                toks = pa.ListArray.from_arrays(pa.array([0, len(s)], pa.int32()), pa.array(np.sort(s.view(np.int64))))
+                yield pa.RecordBatch.from_arrays([pa.array([class_number(s)]), pa.array([len(s)]), pa.array([weight]), toks, b.column(2).slice(i, 1)], names=["class", "n", "weight", "toks", "visits"])
 
-    keys = small(wanted.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "weight"))
+    n, n_visits = wanted.agg(F.count("*"), F.coalesce(F.sum(F.size("visits")), F.lit(0))).first()
+    size = n * ROW_BYTES + n_visits * VISIT_BYTES
+    keys = small(wanted.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "weight", "visits"), 1, size)
     own = rows.join(keys, rows["doc_id"].eqNullSafe(keys["id"]) & (F.col("text_hash") == F.col("hash")))
-    return own.select("text", "weight").mapInArrow(sets, "class long, n long, weight long, toks array<long>")
+    return own.select("text", "weight", "visits").mapInArrow(sets, f"class long, n long, weight long, toks array<long>, visits array<{VISIT}>")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -300,12 +310,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     plan = materialize(search_plan(materialize(shared_prefixes(rows), "shared-prefixes")), "search-plan")
     asked = materialize(routes(plan), "search-routes")
     visited = materialize(visits(plan, asked), "search-visits")
-    wanted = classes.join(visited.select("class").distinct(), "class", "left_semi")
+    wanted = classes.join(visited.groupBy("class").agg(F.collect_list(F.struct(*CELL, "block", "portion", "asks")).alias("visits")), "class")
     sets = whole_sets(rows, materialize(wanted, "searched-classes"))
     if not meta.filter("n > 0").groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty():  # rows alike in all
         sets = sets.dropDuplicates(["class"])
     sets = materialize(sets, "shingle-sets")
-    found = materialize(block_links(visited.join(sets, "class")), "block-links")
+    found = materialize(block_links(sets), "block-links")
     edges = found.filter("b is not null").select("a", "b")
     nodes = materialize(components(edges), "components")
     n_links = found.filter("b is null").groupBy("a").agg(F.sum("n_links").alias("near"))

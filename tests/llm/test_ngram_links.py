@@ -101,3 +101,24 @@ def test_ids_that_repeat_or_are_null(spark):
     assert got == sorted([(5, 26, 5, 2), (5, 26, 5, 2), (5, 26, 5, 2), (None, 26, 5, 2), (None, 27, 5, 2), (7, 26, 5, 2), (None, 0, None, 0), (8, 0, 8, 0), (None, 26, None, 0)], key=str)
     assert out.select("group").distinct().count() == 4  # no words, a, b, the last
     assert ngram_join.near_duplicates(spark.createDataFrame([], "doc_id long, text string"))[0].count() == 0
+
+
+def test_sets_travel_once(spark, monkeypatch):
+    """Whole sets are exchanged on the way to the blocks only, also where nothing is broadcast."""
+    plans, write = {}, ngram_join.materialize
+
+    def watched(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(ngram_join, "materialize", watched)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        texts = corpus()[:120]
+        got = ngram_join.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))[0].collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    links = brute(texts)
+    assert {r.doc_id: r.n_links for r in got} == {i: len(links[i]) for i in links} and any(links.values())
+    assert plans["block-links"].count("Exchange") == 1
