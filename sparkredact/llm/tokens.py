@@ -4,12 +4,14 @@ A byte-level BPE with the usual split pattern never joins what stands before a s
 space and what follows, so a text may be cut in front of its spaces and the parts encoded once each.
 The exceptions are a space inside a longer run of white space and the strings of added tokens, such as
 ``<|endoftext|>``, which are tokens of their own; texts with either are encoded whole.
-Parts are kept in a cache of bounded size. Unknown parts are cut by the split pattern into words, and
-unknown words go to the library's model in groups, as they are rarer than unknown parts.
+Parts are kept in a cache of bounded size. Those of at most 15 bytes are looked up all at once, by their
+bytes and length as two integers, and no strings are made of them. Unknown parts are cut by the split pattern
+into words, and unknown words go to the library's model in groups, as they are rarer than unknown parts.
 """
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterable
@@ -22,6 +24,8 @@ CACHE_PARTS = 200_000
 BATCH_CHARS = 1_000_000
 #: Words that go to the model at once.
 GROUP = 100
+#: Bytes of a part that two integers hold beside its length.
+KEY_BYTES = 15
 #: The split pattern of byte-level BPE.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A space that white space precedes and white space or the end follows.
@@ -31,18 +35,68 @@ PAIRS = [chr(c) + " " for c in range(0x3001) if chr(c).isspace()]
 ASCII_PAIRS = [p for p in PAIRS if p.isascii()]
 
 
-class _Parts(dict):
-    """Number of each part; unknown ones get the next number and wait in ``pending``."""
+class _Words(dict):
+    """Number of each word; unknown ones get the next number and wait in ``pending``."""
 
     def __init__(self) -> None:
         self.pending: list[str] = []
 
-    def __missing__(self, part: str) -> int:
-        n = self[part] = len(self)
-        self.pending.append(part)
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.pending.append(word)
         return n
 
 
+#: What of a little-endian integer the first bytes are.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+
+
+def short_keys(data: bytes, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two integers for each slice of ``data``, equal for slices of at most ``KEY_BYTES`` bytes only where these are equal."""
+    ints = np.frombuffer(data + bytes(24 - len(data) % 8), dtype="<u8").astype(np.uint64, copy=False)
+    at, by = starts >> 3, ((starts & 7) << 3).astype(np.uint64)
+    rest, one = np.uint64(63) - by, np.uint64(1)
+    first, middle, last = ints[at], ints[at + 1], ints[at + 2]
+    lo = (first >> by | middle << one << rest) & _FIRST[np.minimum(lens, 8)]
+    hi = (middle >> by | last << one << rest) & _FIRST[np.clip(lens - 8, 0, 7)]
+    return lo, hi | np.minimum(lens, KEY_BYTES + 1).astype(np.uint64) << np.uint64(56)
+
+
+class _Table:
+    """Numbers below ``size`` of keys of two integers: a hash table with open addressing, at most half full."""
+
+    def __init__(self, size: int) -> None:
+        bits = (2 * size).bit_length()
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        self.slots = np.full(1 << bits, -1, np.int32)
+        self.lo, self.hi = np.zeros(max(1, size), np.uint64), np.zeros(max(1, size), np.uint64)  # by number
+
+    def _home(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        mixed = lo * np.uint64(0x9E3779B97F4A7C15) + hi * np.uint64(0xC2B2AE3D27D4EB4F)
+        return ((mixed ^ mixed >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93) >> self.shift).astype(np.int64)
+
+    def find(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """The keys' numbers; -1 for those that are not there."""
+        at = self._home(lo, hi)
+        out = self.slots[at]
+        left = np.flatnonzero((out >= 0) & ((self.lo[out] != lo) | (self.hi[out] != hi)))
+        while len(left):
+            at[left] = at[left] + 1 & self.last
+            out[left] = found = self.slots[at[left]]
+            left = left[(found >= 0) & ((self.lo[found] != lo[left]) | (self.hi[found] != hi[left]))]
+        return out
+
+    def add(self, numbers: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> None:
+        """Keys that differ and are not there yet, by numbers of their own."""
+        self.lo[numbers], self.hi[numbers] = lo, hi
+        at = self._home(lo, hi)
+        while len(numbers):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = numbers[free]
+            lost = self.slots[at] != numbers
+            numbers, at = numbers[lost], at[lost] + 1 & self.last
+
+
 class _Store:
     """Id lists by number, one after the other, in arrays that grow by doubling."""
 
@@ -96,8 +150,8 @@ class TextEncoder:
         self.token_bytes[list(vocab.values())] = list(map(len, vocab))
         self.split = regex.compile(SPLIT).findall
         self.limit, self.alphabet = cache_parts, byte_alphabet()
-        self.parts, self.part_ids = _Parts(), _Store()
-        self.words, self.word_ids = _Parts(), _Store()
+        self.short, self.long, self.part_ids = _Table(cache_parts), {}, _Store()
+        self.words, self.word_ids = _Words(), _Store()
 
     def _plain(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
@@ -127,31 +181,53 @@ class TextEncoder:
         self._learn_words()
         return self.word_ids.gather(idx)
 
-    def _learn(self) -> None:
-        """Ids of the pending parts, each with a space before it."""
-        new, self.parts.pending = self.parts.pending, []
-        if not new:
-            return
-        row = f" {' '.join(new)} "
+    def _by_split(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each part with a space before it, and these ids in a row."""
+        row = f" {b' '.join(parts).decode()} "
         words, starts = [], []
         # without empty parts and white space at a part's end each begins with a word that starts with a space, and no other does
         if not any(p in row or p[::-1] in row for p in (ASCII_PAIRS if row.isascii() else PAIRS)):
             words = self.split(row[:-1])
             starts = np.array([i for i, w in enumerate(words) if w[0] == " "])
-        if len(starts) != len(new):
-            each = [self.split(" " + p) for p in new]
+        if len(starts) != len(parts):
+            each = [self.split(" " + p.decode()) for p in parts]
             words = list(chain.from_iterable(each))
             starts = np.cumsum([0, *map(len, each)])[:-1]
         lens, flat = self._by_words(words)
-        self.part_ids.add(np.add.reduceat(lens, starts), flat)
+        return np.add.reduceat(lens, starts), flat
+
+    def _by_parts(self, data: bytes, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for slices of ``data`` that stand between spaces; what the cache has no room for is forgotten afterwards."""
+        lo, hi = short_keys(data, starts, lens)
+        idx = self.short.find(lo, hi).astype(np.int64)
+        cut = lambda which: [data[a:b] for a, b in zip(starts[which].tolist(), (starts + lens)[which].tolist(), strict=True)]
+        far = np.flatnonzero(lens > KEY_BYTES)
+        far_parts = cut(far)
+        idx[far] = [self.long.get(p, -1) for p in far_parts]
+        new = np.flatnonzero((idx < 0) & (lens <= KEY_BYTES))
+        new = new[np.lexsort((lo[new], hi[new]))]
+        first = np.append(True, (lo[new][1:] != lo[new][:-1]) | (hi[new][1:] != hi[new][:-1]))[: len(new)]
+        known, one = self.part_ids.n, new[first]
+        idx[new] = known + np.cumsum(first) - 1
+        new_far: dict[bytes, int] = {}
+        for i, p in zip(far.tolist(), far_parts, strict=True):
+            if idx[i] < 0:
+                idx[i] = new_far.setdefault(p, known + len(one) + len(new_far))
+        if len(one) or new_far:
+            self.part_ids.add(*self._by_split([*cut(one), *new_far]))
+            one = one[: max(0, self.limit - known)]
+            self.short.add(np.arange(known, known + len(one)), lo[one], hi[one])
+            self.long |= {p: n for p, n in new_far.items() if n < self.limit}
+        found = self.part_ids.gather(idx)
+        self.part_ids.cut(min(self.part_ids.n, self.limit))
+        return found
 
     def _forget(self) -> None:
-        """Back to what came first, once a batch has brought more than the caches hold."""
-        for name in ("parts", "words"):
-            if len(have := getattr(self, name)) > self.limit:
-                for k in list(islice(reversed(have), len(have) - self.limit)):
-                    del have[k]
-                getattr(self, f"{name[:-1]}_ids").cut(self.limit)
+        """Back to the words that came first, once a batch has brought more than the cache holds."""
+        if len(self.words) > self.limit:
+            for k in list(islice(reversed(self.words), len(self.words) - self.limit)):
+                del self.words[k]
+            self.word_ids.cut(self.limit)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
@@ -172,22 +248,24 @@ class TextEncoder:
 
     def _batch(self, texts: list[str]) -> list[np.ndarray]:
         whole = {i: self._plain(t) for i, t in enumerate(texts) if self._is_whole(t)}
-        cut = [[""] if i in whole else t.split(" ") for i, t in enumerate(texts)]
-        heads = [self.split(c[0]) for c in cut]
+        rows = [b"" if i in whole else t.encode() for i, t in enumerate(texts)]
+        data = b" ".join(rows)
+        spaces = np.flatnonzero(np.frombuffer(data, dtype=np.uint8) == 32)
+        starts, ends = np.append(0, spaces + 1), np.append(spaces, len(data))
+        first = np.searchsorted(starts, np.cumsum([0, *(len(r) + 1 for r in rows[:-1])]))  # of each text
+        heads = [self.split(data[a:b].decode()) for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
         head_lens, head_ids = self._by_words(list(chain.from_iterable(heads)))
-        n = sum(map(len, cut)) - len(cut)
-        idx = np.fromiter(map(self.parts.__getitem__, chain.from_iterable(islice(c, 1, None) for c in cut)), dtype=np.int64, count=n)
-        self._learn()
-        lens, ids = self.part_ids.gather(idx)
+        lens, ids = self._by_parts(data, np.delete(starts, first), np.delete(ends - starts, first))
         bounds = lambda own, n: np.concatenate([[0], np.cumsum(own)])[np.cumsum([0, *n])]
-        head_at, at = bounds(head_lens, map(len, heads)), bounds(lens, (len(c) - 1 for c in cut))
+        head_at, at = bounds(head_lens, map(len, heads)), bounds(lens, np.diff(first, append=len(starts)) - 1)
         self._forget()
         return [whole[i] if i in whole else np.concatenate([head_ids[head_at[i] : head_at[i + 1]], ids[at[i] : at[i + 1]]]) for i in range(len(texts))]
 
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> TextEncoder:
-    """One encoder for each worker process."""
+    """One encoder for each worker process, which has one core: the library's threads would take memory, and time to wait."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return TextEncoder(path)
 
 
