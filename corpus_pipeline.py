@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkredact.llm import language_id, mixing, ngram_join, packing, pii
-from sparkredact.llm.common import materialize, small, table
+from sparkredact.llm.common import materialize, shrink_heaps, small, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,6 +31,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Texts without words stay. An id that is null comes after all others. An empty table stays empty.
     """
+    shrink_heaps(spark)
     found, _ = ngram_join.near_duplicates(docs)
     found = materialize(found.filter("n_shingles > 0").select("group", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash").alias("row")), "found")
     many = found.groupBy("group").agg(F.min("row").alias("first"), F.count("*").alias("rows")).filter("rows > 1")
@@ -71,6 +72,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document's tokens goes."""
+    shrink_heaps(spark)
     return packing.pack_documents(docs)
 
 

@@ -106,3 +106,13 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):  # another C library
         pass
+
+
+def shrink_heaps(spark: SparkSession) -> None:
+    """Let the executors give back what earlier work grew their heaps by and left empty, which a JVM else keeps.
+
+    A collection in each core's task: an executor whose cores are all busy is left as it is. For work that needs little
+    of the JVM and much beside it.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, cores, 1, cores).select(F.expr("reflect('java.lang.System', 'gc')").alias("gc")).write.format("noop").mode("overwrite").save()
